@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm import language_id, quality
 from tessera.llm.ngram_join import ngram_join
 
 
@@ -17,8 +19,32 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+#: Remainder of crc32(doc_id as text) modulo 3 whose documents are held out of training.
+HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, false)"
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = language_id.fit(docs.where(f"not {HELD_OUT}").select(F.col("doc_id").alias("id"), "text", "lang"))
+    return language_id.identify(docs, net).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model | None:
+    """Fitted on labelled documents that are not held out."""
+    labels = _table(spark, sf_dir, "labels").where(f"not {HELD_OUT}").select("doc_id", "quality")
+    docs = _table(spark, sf_dir, "documents").where(f"not {HELD_OUT}").select("doc_id", "text")
+    return quality.fit(docs.join(labels, "doc_id").withColumnRenamed("doc_id", "id"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(_table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
+    "op3_language_id": op3_language_id,
+    "op6_quality": op6_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
