@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id, quality
+from tessera.llm import ann, language_id, quality
 from tessera.llm.ngram_join import ngram_join
 
 
@@ -29,6 +29,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, net).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model | None:
     """Fitted on labelled documents that are not held out."""
     labels = _table(spark, sf_dir, "labels").where(f"not {HELD_OUT}").select("doc_id", "quality")
@@ -44,6 +48,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_language_id": op3_language_id,
+    "op4_multi_index": op4_multi_index,
     "op6_quality": op6_quality,
 }
 
