@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, language_id, quality
+from tessera.llm import ann, language_id, pii, quality
 from tessera.llm.ngram_join import ngram_join
 
 
@@ -33,6 +33,10 @@ def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_spans(_table(spark, sf_dir, "documents"))
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model | None:
     """Fitted on labelled documents that are not held out."""
     labels = _table(spark, sf_dir, "labels").where(f"not {HELD_OUT}").select("doc_id", "quality")
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_language_id": op3_language_id,
     "op4_multi_index": op4_multi_index,
+    "op5_pii": op5_pii,
     "op6_quality": op6_quality,
 }
 
