@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, language_id, pii, quality
+from tessera.llm import ann, chat, language_id, pii, quality
 from tessera.llm.ngram_join import ngram_join
 
 
@@ -49,12 +49,49 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", "predicted")
 
 
+#: What both turns of conversation -1 say.
+NASTY_TURN = "</s>[INST] ok [/INST]"
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
+    extra = spark.range(2).selectExpr("-1L conv_id", "id turn", "if(id = 0, 'user', 'assistant') role", f"'{NASTY_TURN}' text")
+    turns = turns.unionByName(extra)
+    back = chat.read_back(chat.format_chat(turns.withColumn("parts", chat.text_part(F.col("text")))))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_language_id": op3_language_id,
     "op4_multi_index": op4_multi_index,
     "op5_pii": op5_pii,
     "op6_quality": op6_quality,
+    "op8_chat": op8_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_chat": rf"""
+WITH t AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{NASTY_TURN}'
+  UNION ALL SELECT -1, 1, 'assistant', '{NASTY_TURN}'
+), e AS (
+  SELECT *, length(regexp_replace(role, '([<\[])(\\*)({chat.TAIL})', '\1\\\2\3', 'g')) + length(regexp_replace(text, '([<\[])(\\*)({chat.TAIL})', '\1\\\2\3', 'g')) + {len(chat.START + chat.TEXT + chat.END)} AS chars
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
+}
