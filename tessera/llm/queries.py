@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, language_id, pii, quality
+from tessera.llm import ann, bpe, chat, language_id, pii, quality
 from tessera.llm.ngram_join import ngram_join
 
 
@@ -49,6 +49,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", "predicted")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+
+
 #: What both turns of conversation -1 say.
 NASTY_TURN = "</s>[INST] ok [/INST]"
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_multi_index": op4_multi_index,
     "op5_pii": op5_pii,
     "op6_quality": op6_quality,
+    "op7_bpe": op7_bpe,
     "op8_chat": op8_chat,
 }
 
