@@ -64,65 +64,71 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = min(hi, n)
 
 
-def _hash_runs(raw: np.ndarray, is_word: np.ndarray, starts: np.ndarray, powers: Powers) -> np.ndarray:
+def _hash_runs(raw: np.ndarray, is_word: np.ndarray, starts: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     kept = LOWER[raw[is_word]]
-    first = (np.cumsum(is_word, dtype=np.int64)[starts] - 1) if len(starts) else np.zeros(0, np.int64)
+    first = np.cumsum(is_word, dtype=np.int64)[starts] - 1
     length = np.diff(np.append(first, len(kept)))
-    if not len(first):
-        return np.zeros(0, np.uint64)
     place = np.arange(len(kept), dtype=np.int32) - np.repeat(first, length).astype(np.int32)
     value = BYTE_VALUE[kept]
     value *= powers.upto(int(length.max()) + 1)[place]
-    return mix(np.add.reduceat(value, first) + length.astype(np.uint64))
+    return mix(np.add.reduceat(value, first) + length.astype(np.uint64)), length
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all rows, and the rows' offsets into them.
+def words(raw: np.ndarray, offsets: np.ndarray, powers: Powers, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all rows: hashes (A-Z lower-cased), the rows' offsets into them, first bytes and lengths.
 
-    Rows are cut at white space into pieces of CHUNK_BYTES, so memory follows the piece, not the row.
+    ``space`` marks the bytes between words.  Rows are cut there into pieces of CHUNK_BYTES, so memory follows
+    the piece, not the row.
     """
-    out, counts = [], np.zeros(len(offsets) - 1, np.int64)
+    hashes, places, lengths, counts = [], [], [], np.zeros(len(offsets) - 1, np.int64)
+
+    def add(piece: np.ndarray, begins: np.ndarray, is_word: np.ndarray, base: int) -> np.ndarray:
+        starts = np.flatnonzero(begins)
+        got, length = _hash_runs(piece, is_word, starts, powers)
+        hashes.append(got)
+        places.append(starts + base)
+        lengths.append(length)
+        return starts
+
     for lo, hi in chunks(offsets):
         a, b = int(offsets[lo]), int(offsets[hi])
-        if hi - lo == 1 and b - a > CHUNK_BYTES:
-            while a < b:
-                end = min(b, a + CHUNK_BYTES)
-                while end < b and not IS_SPACE[raw[end]]:
-                    gap = np.flatnonzero(IS_SPACE[raw[end : end + CHUNK_BYTES]])
-                    end = end + int(gap[0]) if len(gap) else min(b, end + CHUNK_BYTES)
-                piece = raw[a:end]
-                is_word = ~IS_SPACE[piece]
-                starts = np.flatnonzero(is_word & ~np.concatenate(([False], is_word[:-1])))
-                out.append(_hash_runs(piece, is_word, starts, powers))
-                counts[lo] += len(starts)
-                a = end
-            continue
-        piece = raw[a:b]
-        is_word = ~IS_SPACE[piece]
+        while hi - lo == 1 and b - a > CHUNK_BYTES:
+            end = a + CHUNK_BYTES
+            while end < b and not space[raw[end]]:
+                gap = np.flatnonzero(space[raw[end : end + CHUNK_BYTES]])
+                end = end + int(gap[0]) if len(gap) else min(b, end + CHUNK_BYTES)
+            is_word = ~space[raw[a:end]]
+            begins = is_word.copy()
+            begins[1:] &= ~is_word[:-1]
+            counts[lo] += len(add(raw[a:end], begins, is_word, a))
+            a = end
+        is_word = ~space[raw[a:b]]
         begins = is_word.copy()
         begins[1:] &= ~is_word[:-1]
-        rows = offsets[lo:hi] - a
-        rows = rows[rows < len(piece)]
+        rows = np.maximum(offsets[lo:hi] - a, 0)
+        rows = rows[rows < b - a]
         begins[rows] = is_word[rows]
-        starts = np.flatnonzero(begins)
-        out.append(_hash_runs(piece, is_word, starts, powers))
-        counts[lo:hi] = np.diff(np.searchsorted(starts, offsets[lo : hi + 1] - a))
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.concatenate(([0], np.cumsum(counts)))
+        starts = add(raw[a:b], begins, is_word, a)
+        counts[lo:hi] += np.diff(np.searchsorted(starts, np.maximum(offsets[lo : hi + 1] - a, 0)))
+    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+    return join(hashes, np.uint64), np.concatenate(([0], np.cumsum(counts))), join(places, np.int64), join(lengths, np.int64)
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int, powers: Powers) -> Iterator[np.ndarray]:
     """Each row's sorted distinct shingle hashes; with fewer words than ``width`` the whole sequence is one."""
-    words, at = word_hashes(raw, offsets, powers)
+    hashes, at, _, _ = words(raw, offsets, powers)
     weight = powers.upto(width + 2)
     for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         n = hi - lo
         if not n:
-            yield words[:0]
+            yield hashes[:0]
             continue
         k = min(n, width)
-        total = words[lo : hi - k + 1] * weight[1]
+        total = hashes[lo : hi - k + 1] * weight[1]
         for j in range(1, k):
-            total = total + words[lo + j : hi - k + 1 + j] * weight[j + 1]
+            total = total + hashes[lo + j : hi - k + 1 + j] * weight[j + 1]
         grams = np.sort(mix(total + U64(k)))
         if len(grams) > 1:
             grams = grams[np.concatenate(([True], grams[1:] != grams[:-1]))]
