@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, chat, decontam, language_id, license_scan, pii, quality
+from tessera.llm import ann, bpe, chat, decontam, language_id, license_scan, pii, quality, secret_scan
 from tessera.llm.ngram_join import ngram_join
 
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_scan.fit(secret_scan.labelled_findings(spark))
+    return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"), forest, path_col="source")
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
@@ -84,6 +89,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_ngram_join": op2_ngram_join,
     "op3_language_id": op3_language_id,
     "op4_multi_index": op4_multi_index,
