@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,53 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 CHUNK_BYTES = 1 << 20
 
 
+def trim() -> None:
+    """Give freed memory back to the system; a worker that waits for its next task then holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """run, for mapInArrow, trimming after each input batch."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fed() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                trim()
+
+        yield from run(fed())
+        trim()
+
+    return trimmed
+
+
+def lean_group(run: Callable) -> Callable:
+    """run, for applyInArrow on groups, trimming after each group."""
+
+    def trimmed(table: pa.Table) -> pa.Table:
+        out = run(table)
+        trim()
+        return out
+
+    return trimmed
+
+
+def lean_cogroup(run: Callable) -> Callable:
+    """run, for applyInArrow on cogroups, trimming after each."""
+
+    def trimmed(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        trim()
+        return out
+
+    return trimmed
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the whole 64-bit word."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

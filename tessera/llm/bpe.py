@@ -309,8 +309,8 @@ def encode(docs: DataFrame, path: str, digests: bool = False, id_col: str = "doc
     vocabulary = spark.sparkContext.broadcast(Vocabulary(path))  # the file's size bounds it
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().alias("part"))
-    words = rows.mapInArrow(_blocks(vocabulary, buckets, False), "block string, bucket int, sizes binary, words binary")
-    places = rows.mapInArrow(_blocks(vocabulary, buckets, True), "block string, ids array<long>, counts binary, places binary, buckets binary")
-    answers = words.groupBy("bucket").applyInArrow(_word_table(vocabulary), "block string, bucket int, sizes binary, values binary")
+    words = rows.mapInArrow(_text.lean(_blocks(vocabulary, buckets, False)), "block string, bucket int, sizes binary, words binary")
+    places = rows.mapInArrow(_text.lean(_blocks(vocabulary, buckets, True)), "block string, ids array<long>, counts binary, places binary, buckets binary")
+    answers = words.groupBy("bucket").applyInArrow(_text.lean_group(_word_table(vocabulary)), "block string, bucket int, sizes binary, values binary")
     end = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return places.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_assemble(vocabulary, digests), f"doc_id long, n_tokens long, {end}")
+    return places.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_text.lean_cogroup(_assemble(vocabulary, digests)), f"doc_id long, n_tokens long, {end}")

@@ -248,7 +248,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     out = None
     for index in indexes(benchmark):
-        found = rows.mapInArrow(_scan(index), FOUND)
+        found = rows.mapInArrow(_text.lean(_scan(index)), FOUND)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -268,5 +268,5 @@ def _clean(index: Index, at: int):
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns; rules as in find_leaks."""
     for index in indexes(benchmark):
-        docs = docs.mapInArrow(_clean(index, docs.columns.index(text_col)), docs.schema)
+        docs = docs.mapInArrow(_text.lean(_clean(index, docs.columns.index(text_col))), docs.schema)
     return docs

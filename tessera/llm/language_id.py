@@ -72,4 +72,4 @@ def identify(docs: DataFrame, net: _bytecnn.Network | None, id_col: str = "doc_i
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("known"))
-    return rows.mapInArrow(_predict(net), "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(_text.lean(_predict(net)), "doc_id long, lang_pred string, score double")

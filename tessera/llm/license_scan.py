@@ -189,4 +189,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     match nothing; repeated rows report each; a null id is reported as null.  Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    return rows.mapInArrow(_scan(TEMPLATES if templates is None else templates, least_coverage), FOUND)
+    return rows.mapInArrow(_text.lean(_scan(TEMPLATES if templates is None else templates, least_coverage)), FOUND)

@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import _text
+
 #: Key of the registered query and of tests; a production run passes its own.
 DEMO_KEY = b"a key of one's own belongs here"
 ROUNDS = 8
@@ -248,10 +250,10 @@ def replace_pii(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text",
     ``back`` undoes it.  Null and empty texts stay as they are; no row is dropped or added.
     """
     typed = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    return typed.mapInArrow(_run(key, typed.columns.index(text_col), back, False), typed.schema)
+    return typed.mapInArrow(_text.lean(_run(key, typed.columns.index(text_col), back, False)), typed.schema)
 
 
 def pii_spans(docs: DataFrame, key: bytes = DEMO_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with pseudonyms and spans (kind, start, end in that text), one row per input row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_run(key, 1, False, True), "doc_id long, text string, spans array<struct<kind: string, start: int, end: int>>")
+    return rows.mapInArrow(_text.lean(_run(key, 1, False, True)), "doc_id long, text string, spans array<struct<kind: string, start: int, end: int>>")

@@ -86,7 +86,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     0.5.  Repeated rows get equal results.  Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_score(model), "doc_id long, score double, predicted int")
+    return rows.mapInArrow(_text.lean(_score(model)), "doc_id long, score double, predicted int")
 
 
 def _keep(model: Model | None, text_at: int):
@@ -104,4 +104,4 @@ def _keep(model: Model | None, text_at: int):
 def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The rows of docs that ``score`` predicts as 1, with all their columns, in one pass and without a join."""
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(_keep(model, at), docs.schema)
+    return docs.mapInArrow(_text.lean(_keep(model, at)), docs.schema)
