@@ -1,40 +1,13 @@
-"""Intermediate tables in the shared folder, and connected components by star contraction."""
+"""Connected components of binary-named nodes, by star contraction."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import dropped, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests, local mode) a temporary folder is set once."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.shared.dir", None)
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("tessera.shared.dir", place)
-    return place.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, executors may be lost."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tessera_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete what written() made, once nothing reads it any more."""
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(df._tessera_path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+__all__ = ["components", "dropped", "written"]
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

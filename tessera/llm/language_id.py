@@ -58,7 +58,7 @@ def _predict(net: _bytecnn.Network | None):
                 best[lo:hi], score[lo:hi] = total.argmax(axis=1), total.max(axis=1)
             known = np.array(batch.column(2).to_numpy(zero_copy_only=False), bool) & bool(net)
             names = [net.classes[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)] if net else [UNKNOWN] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.where(known, np.clip(score, 0, 1), 0.0))], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.round(np.where(known, np.clip(score, 0, 1), 0.0), 6))], names=["doc_id", "lang_pred", "score"])
 
     return run
 
@@ -67,8 +67,8 @@ def identify(docs: DataFrame, net: _bytecnn.Network | None, id_col: str = "doc_i
     """doc_id, lang_pred and score (0 to 1), one row per input row.
 
     Windows of WINDOW bytes cover the whole text; their probabilities are averaged by their bytes.  A null
-    text, one without any letter, or a network of no language gives ``und`` and 0.  Repeated rows get equal
-    results.  Other columns are ignored.
+    text, one without any letter, or a network of no language gives ``und`` and 0.  Scores have six places;
+    repeated rows get equal results.  Other columns are ignored.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("known"))

@@ -74,6 +74,7 @@ def _score(model: Model | None):
                 x = _features(model.net, tables, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 score[lo:hi] = 1 / (1 + np.exp(-np.clip(x @ model.weights, -40, 40)))
             score[np.diff(offsets) == 0] = 0.0
+            score = np.round(score, 6)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return run
@@ -83,7 +84,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """doc_id, score (0 to 1, higher: better) and predicted (1 if score >= 0.5), one row per input row.
 
     Overlapping chunks cover the whole text.  Null and empty texts score 0; without a model all others score
-    0.5.  Repeated rows get equal results.  Other columns are ignored.
+    0.5.  Scores have six places; repeated rows get equal results.  Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_text.lean(_score(model)), "doc_id long, score double, predicted int")
