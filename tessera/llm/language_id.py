@@ -40,7 +40,10 @@ def sample(rows: DataFrame, label: str, per_class: int, text_bytes: int = TEXT_B
 def fit(rows: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> _bytecnn.Network | None:
     """Train on (id, text, lang) rows; None where no language is known."""
     texts = sample(rows, "lang", per_language)
-    return _bytecnn.train([t for t, _ in texts], [y for _, y in texts], WINDOW) if texts else None
+    net = _bytecnn.train([t for t, _ in texts], [y for _, y in texts], WINDOW) if texts else None
+    del texts
+    _text.trim()
+    return net
 
 
 def _predict(net: _bytecnn.Network | None):

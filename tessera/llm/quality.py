@@ -61,7 +61,10 @@ def fit(rows: DataFrame, per_label: int = TEXTS_PER_LABEL) -> Model | None:
     tables = net.tables()
     raw, offsets = _text.utf8(pa.array([t for t, _ in texts], pa.binary()))
     x = np.concatenate([_features(net, tables, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in _text.chunks(offsets)])
-    return Model(net, _logistic(x, np.array(labels, float)))
+    model = Model(net, _logistic(x, np.array(labels, float)))
+    del texts, raw, offsets, x
+    _text.trim()
+    return model
 
 
 def _score(model: Model | None):
