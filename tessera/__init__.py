@@ -1,0 +1,10 @@
+"""Interaction analytics and corpus preparation on PySpark.
+
+Worker code is pickled by value, so executors need numpy and pyarrow but not this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
