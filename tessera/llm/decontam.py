@@ -110,12 +110,12 @@ class Index:
         step = self.edits[item] + 1
         band = (diagonal + (1 << 20)) // step
         rows_items = row * len(self.items) + item
+        # group b holds the hits of bands b and b + 1: diagonals b (e + 1) to (b + 2) (e + 1) - 1
+        group, count = _count(np.concatenate((rows_items, rows_items)), np.concatenate((band, band - 1)))
+        own = group[0] % len(self.items)
         found = set()
-        for shift in (0, 1):
-            group, count = _count(rows_items, band - shift)
-            own = group[0] % len(self.items)
-            for g, b, i in zip(group[0][ok := count >= self.least[own]].tolist(), group[1][ok].tolist(), own[ok].tolist(), strict=True):
-                found.add((g // len(self.items), i, b * int(self.edits[i] + 1) - (1 << 20)))
+        for g, b, i in zip(group[0][ok := count >= self.least[own]].tolist(), group[1][ok].tolist(), own[ok].tolist(), strict=True):
+            found.add((g // len(self.items), i, b * int(self.edits[i] + 1) - (1 << 20)))
         out: list[tuple[int, int, int, int, int]] = []
         begins = np.concatenate(([0], ends[:-1]))
         for r, i, low in sorted(found):

@@ -83,6 +83,20 @@ def test_against_plain_search(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {r.doc_id for r in found}
 
 
+def test_long_insertion_at_the_budget_on_every_diagonal():
+    r = random.Random(5)
+    item = "".join(r.choice("abcdefghijklmnop") for _ in range(300))
+    index = decontam.Index([(1, item)])
+    leak = list(item)
+    for i in range(14):
+        leak[10 + 20 * i] = "z"
+    leak[150:150] = "y" * 10
+    assert index.edits[0] == 24 == least_edits(item, "".join(leak))
+    for offset in range(60):
+        data = np.frombuffer(("-" * offset + "".join(leak) + "-" * 40).encode(), np.uint8)
+        assert index.matches(data, np.array([len(data)])) == [(0, 0, offset, offset + 310, 24)]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
