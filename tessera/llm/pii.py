@@ -32,12 +32,26 @@ PATTERN = re.compile(
   | (?P<date>(?<![\d./-])\d{1,2}(?P<mark>[./-])\d{1,2}(?P=mark)\d{4}(?![\d/-]))
   | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
   | (?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))
-  | (?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d]|-\d))
+  | (?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?!\d))
     """,
     re.VERBOSE,
 )
 
 
+#: A telephone's country code, kept as it is.
+HEAD = re.compile(r"\+\d{1,3}(?=[ .(-])|\+\d|")
+#: Characters of an IBAN by country (ISO 13616).
+IBAN_SIZES = {
+    country: int(size)
+    for size, countries in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL "
+        "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA "
+        "30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+    ).split())
+    for country in countries.split(",")
+}
+
+
 class Feistel:
     """Keyed permutations of 0..n-1 for any n: a balanced Feistel network with cycle walking."""
 
@@ -92,33 +106,39 @@ def _decimal(f: Feistel, digits: str, tweak: str, back: bool) -> str:
     return str(f.permute(int(digits), 10 ** len(digits), tweak, back)).zfill(len(digits))
 
 
-def _card(f: Feistel, m: re.Match, back: bool) -> str | None:
-    digits = re.sub(r"\D", "", m[0])
+def _card(f: Feistel, found: str, back: bool) -> str | None:
+    """Also keeps the sum that digits behind the card would meet, so that a longer run of digits is a card
+    after the change if and only if it was one before, and the same length is taken on the way back."""
+    digits = re.sub(r"\D", "", found)
     if luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
         return None
-    payload = _decimal(f, digits[:-1], "card", back)
-    return _into(m[0], payload + luhn_digit(payload))
+    payload, other = digits[:-1], luhn_digit(digits)
+    while True:
+        payload = _decimal(f, payload, "card", back)
+        new = payload + luhn_digit(payload)
+        if luhn_digit(new) == other and len(set(new)) > 1:
+            return _into(found, new)
 
 
-def _phone(f: Feistel, m: re.Match, back: bool) -> str | None:
-    head = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d|", m[0])[0]
-    rest = m[0][len(head) :]
+def _phone(f: Feistel, found: str, back: bool) -> str | None:
+    head = HEAD.match(found)[0]
+    rest = found[len(head) :]
     digits = re.sub(r"\D", "", rest)
     if not 7 <= len(digits) <= 14:
         return None
     return head + _into(rest, _decimal(f, digits, "phone", back))
 
 
-def _ip(f: Feistel, m: re.Match, back: bool) -> str | None:
-    parts = [int(x) for x in m[0].split(".")]
+def _ip(f: Feistel, found: str, back: bool) -> str | None:
+    parts = [int(x) for x in found.split(".")]
     if max(parts) > 255:
         return None
     x = f.permute(int.from_bytes(bytes(parts), "big"), 1 << 32, "ip", back)
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
-def _ssn(f: Feistel, m: re.Match, back: bool) -> str | None:
-    area, group, serial = (int(x) for x in m[0].split("-"))
+def _ssn(f: Feistel, found: str, back: bool) -> str | None:
+    area, group, serial = (int(x) for x in found.split("-"))
     if area in (0, 666) or area >= 900 or not group or not serial:
         return None
     place = area - 1 - (area > 666)
@@ -149,17 +169,17 @@ def _characters(f: Feistel, text: str, tweak: str, back: bool) -> str:
     return "".join(reversed(out))
 
 
-def _iban(f: Feistel, m: re.Match, back: bool) -> str | None:
-    text = m[0].replace(" ", "")
+def _iban(f: Feistel, found: str, back: bool) -> str | None:
+    text = found.replace(" ", "")
     if not 15 <= len(text) <= 34 or _iban_check(text[:2], text[4:]) != text[2:4]:
         return None
     account = _characters(f, text[4:], "iban", back)
     flat = iter(text[:2] + _iban_check(text[:2], account) + account)
-    return "".join(c if c == " " else next(flat) for c in m[0])
+    return "".join(c if c == " " else next(flat) for c in found)
 
 
-def _email(f: Feistel, m: re.Match, back: bool) -> str:
-    local, host = m[0].split("@")
+def _email(f: Feistel, found: str, back: bool) -> str:
+    local, host = found.split("@")
     labels = host.rsplit(".", 1)
     return f"{_characters(f, local, 'local', back)}@{_characters(f, labels[0], 'host', back)}.{labels[1]}"
 
@@ -174,15 +194,15 @@ def _day(f: Feistel, year: str, month: str, day: str, back: bool) -> datetime.da
     return FIRST_DAY + datetime.timedelta(f.permute((value - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, "date", back))
 
 
-def _iso(f: Feistel, m: re.Match, back: bool) -> str | None:
-    day = _day(f, m[0][:4], m[0][5:7], m[0][8:], back)
+def _iso(f: Feistel, found: str, back: bool) -> str | None:
+    day = _day(f, found[:4], found[5:7], found[8:], back)
     return day and day.isoformat()
 
 
-def _date(f: Feistel, m: re.Match, back: bool) -> str | None:
+def _date(f: Feistel, found: str, back: bool) -> str | None:
     """dd.mm.yyyy; with / or - month first where only that is a date.  Both figures get two digits."""
-    mark = m["mark"]
-    first, second, year = m[0].split(mark)
+    mark = re.search("[./-]", found)[0]
+    first, second, year = found.split(mark)
     if day := _day(f, year, second, first, back):
         return f"{day.day:02d}{mark}{day.month:02d}{mark}{day.year}"
     # month first with a day over 12: permuted among such days, so that it still reads month first
@@ -196,7 +216,29 @@ def _date(f: Feistel, m: re.Match, back: bool) -> str | None:
     return f"{day.month:02d}{mark}{day.day:02d}{mark}{day.year}"
 
 
-KINDS: dict[str, Callable[[Feistel, re.Match, bool], str | None]] = {"email": _email, "phone": _phone, "iban": _iban, "iso": _iso, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card}
+KINDS: dict[str, Callable[[Feistel, str, bool], str | None]] = {"email": _email, "phone": _phone, "iban": _iban, "iso": _iso, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card}
+
+
+def _ends(kind: str, found: str) -> list[int]:
+    """Lengths of a find that may be the value, in the order to try; a shorter one ends before a separator.
+
+    Only the format decides on the order of telephones and IBANs, so the way back takes the same one.
+    """
+    if kind not in ("phone", "iban", "card"):
+        return [len(found)]
+    ends = [len(found), *(i for i in range(len(found) - 1, 0, -1) if found[i] in " .-" and found[i - 1].isalnum())]
+    if kind == "iban":
+        full = IBAN_SIZES.get(found[:2])
+        return sorted(ends, key=lambda e: len(found[:e].replace(" ", "")) != full)
+    if kind == "card":
+        return [e for e in ends if sum(c.isdecimal() for c in found[:e]) >= 13]
+    head = HEAD.match(found)[0]
+    if not head:
+        return [len(found)]
+    size = lambda e: sum(c.isdecimal() for c in found[len(head) : e])
+    # +1 has ten digits behind it; elsewhere a space does not go on with digits parted by - or .
+    over = [e for e in ends if (size(e) == 10 if head == "+1" else e < len(found) and found[e] == " " and size(e) >= 8 and re.search(r"\d[.-]\d+$", found[len(head) + 1 : e]))]
+    return [*over[-1:], *(e for e in ends if e not in over[-1:])]
 
 
 def pseudonymise(text: str, f: Feistel, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
@@ -205,17 +247,18 @@ def pseudonymise(text: str, f: Feistel, back: bool = False) -> tuple[str, list[t
     start = 0
     while m := PATTERN.search(text, start):
         kind = next(k for k in KINDS if m[k] is not None)
-        new = KINDS[kind](f, m, back)
+        tried = ((end, KINDS[kind](f, m[0][:end], back)) for end in _ends(kind, m[0]))
+        end, new = next(((e, n) for e, n in tried if n is not None), (0, None))
         if new is None:
             # not valid as this kind: what it holds may be of another
             start = m.start() + 1
             continue
-        start = m.end()
+        start = m.start() + end
         out += [text[at : m.start()], new]
         size += m.start() - at
         spans.append((kind, size, size + len(new)))
         size += len(new)
-        at = m.end()
+        at = start
     return "".join([*out, text[at:]]), spans
 
 
@@ -246,7 +289,9 @@ def replace_pii(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text",
 
     Replaced: e-mail addresses, telephone numbers (7 to 14 digits without the country code), IBANs and payment
     cards with valid check digits, social security numbers, IPv4 addresses and calendar dates (1900 to 2099).
-    Numbers that fail validation stay.  Under one key equal values become equal values in every document;
+    A find that is not valid is tried at its shorter lengths, down to 13 digits of a card; an IBAN has its country's
+    length and a telephone of +1 ten digits, so a number behind a space is not taken in.  With other country codes
+    digits parted by spaces only are one telephone.  Numbers that fail validation stay.  Under one key equal values become equal values in every document;
     ``back`` undoes it.  Null and empty texts stay as they are; no row is dropped or added.
     """
     typed = docs.withColumn(text_col, F.col(text_col).cast("string"))

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -42,6 +43,34 @@ def test_invalid_values_stay(text):
     assert pii.pseudonymise(text, F) == (text, [])
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("4111 1111 1111 1111 12/27", "card", "4111 1111 1111 1111"), ("x 4111111111111111 123", "card", "4111111111111111"), ("4845168114407329 7 items", "card", "4845168114407329"),
+        ("4111-1111-1111-1111-12345", "card", "4111-1111-1111-1111"), ("to ES91 2100 0418 4502 0005 1332 IN full", "iban", "ES91 2100 0418 4502 0005 1332"),
+        ("IBAN ES9121000418450200051332 EUR", "iban", "ES9121000418450200051332"), ("ES91 2100 0418 4502 0005 1332 INVOICE 7", "iban", "ES91 2100 0418 4502 0005 1332"),
+        ("+1 (017) 555-7713 2024", "phone", "+1 (017) 555-7713"), ("+1 017 555 7713 2024 12", "phone", "+1 017 555 7713"), ("+49 30-1234-5678 2024", "phone", "+49 30-1234-5678"),
+        ("+49 30 1234 5678", "phone", "+49 30 1234 5678"),
+    ],
+)
+def test_value_before_another_number(text, kind, value):
+    new, spans = pii.pseudonymise(text, F)
+    at = text.index(value)
+    assert spans == [(kind, at, at + len(value))]
+    assert new == text.replace(value, pii.pseudonymise(value, F)[0]) != text
+    assert pii.pseudonymise(new, F, back=True)[0] == text
+
+
+def test_cards_before_other_digits_come_back():
+    r = random.Random(3)
+    for _ in range(500):
+        payload = "".join(r.choice("0123456789") for _ in range(r.choice((12, 14, 15))))
+        card = payload + pii.luhn_digit(payload)
+        text = f"{card} {r.randrange(1000)} x"
+        new, spans = pii.pseudonymise(text, F)
+        assert len(spans) == 1 and pii.pseudonymise(new, F, back=True)[0] == text
+
+
 def test_frame(spark):
     rows = [(1, "x 97.51.17.173", "a"), (2, None, "b"), (2, "", "b"), (None, "97.51.17.173 " * 3000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
