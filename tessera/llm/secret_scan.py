@@ -29,10 +29,17 @@ DICTIONARY = (
     "secret section select server service session set site size source start state static string style system table test text this time title token true type "
     "update upload url user value vendor version view web window with word world write your"
 )
-PROVIDERS = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}|github_pat_[0-9A-Za-z_]{22,255}|xox[abprs]-[0-9A-Za-z-]{10,255}|AIza[0-9A-Za-z_-]{35}|[sr]k_live_[0-9A-Za-z]{16,255}|eyJ[0-9A-Za-z_-]{8,4096}\.[0-9A-Za-z_-]{8,4096}\.[0-9A-Za-z_-]{8,4096}|-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"
+PROVIDERS = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}+|github_pat_[0-9A-Za-z_]{22,}+|xox[abprs]-[0-9A-Za-z-]{10,}+|AIza[0-9A-Za-z_-]{35}|[sr]k_live_[0-9A-Za-z]{16,}+|eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+|-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"
 ASSIGNED = rf"(?i:{SECRET_WORDS})[\"']?[ \t]{{0,4}}(?:=>|:=|[:=])[ \t]{{0,4}}[\"']?"
-#: A value given to a secret's name, a provider's format, or a long run that holds a digit.
-CANDIDATE = rf"{ASSIGNED}[^\s\"']{{8,4096}}|{PROVIDERS}|(?<![0-9A-Za-z_+/=-])(?=[A-Za-z_+/=-]{{0,64}}[0-9])[0-9A-Za-z_+/=-]{{16,4096}}"
+RUN = r"A-Za-z_+/=-"
+#: A value given to a secret's name, a provider's format, or a long run that holds a digit; of any length.  A run whose
+#: first digit is far off leaves a name with its value, or a provider's format, within it to be found by itself.
+CANDIDATE = (
+    rf"{ASSIGNED}[^\s\"']{{8,}}+|{PROVIDERS}"
+    rf"|(?<![0-9{RUN}])(?:(?=[{RUN}]{{0,64}}[0-9])|(?=[{RUN}]*+[0-9])(?![0-9{RUN}]*?(?:{ASSIGNED}[^\s\"']{{8}}|{PROVIDERS})))[0-9{RUN}]{{16,}}+"
+)
+#: What is no part of a value at its end.
+TAIL = r"(?<![.,;:!?*#$%&)\]}])[.,;:!?*#$%&)\]}]++$"
 HARMLESS_PATHS = r"(?i)(?:^|[/\\._-])(?:tests?|specs?|fixtures?|examples?|samples?|docs?|vendor|node_modules|locales?|lock)(?:[/\\._-]|$)"
 
 
@@ -62,7 +69,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id",
         "path",
         (F.col("start") + F.length("name")).alias("start"),
-        F.regexp_replace(F.expr("substring(hit, length(name) + 1)"), r"[.,;:!?*#$%&)\]}]+$", "").alias("value"),
+        F.regexp_replace(F.expr("substring(hit, length(name) + 1)"), TAIL, "").alias("value"),
         F.concat("before", "name").alias("before"),
         "after",
     )
