@@ -220,6 +220,27 @@ def test_svd(spark):
                 assert sorted(open_)[r.rank - 1][1] == r.item_id
 
 
+def test_svd_of_a_flat_spectrum(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    m = np.zeros((240, 300))
+    for row in m:
+        row[rng.choice(300, 12, replace=False)] = rng.integers(1, 11, 12) / 2
+    cells = spark.createDataFrame([(int(u), int(i), float(m[u, i])) for u, i in zip(*m.nonzero(), strict=True)], "user_id long, item_id long, v double")
+    full = np.linalg.svd(m)
+    left, right, s = factor._subspace(cells, 12)
+    assert s == pytest.approx(full[1][:12], rel=1e-9)
+    got = np.zeros_like(m)
+    u, v = {r.user_id: r.vector for r in left.collect()}, {r.item_id: r.vector for r in right.collect()}
+    for a in u:
+        for b in v:
+            got[a, b] = np.dot(u[a], v[b])
+    assert np.abs(got - (full[0][:, :12] * full[1][:12]) @ full[2][:12]).max() < 1e-4
+    with pytest.raises(ArithmeticError):
+        factor._subspace(cells, 12, rounds=1)
+
+
 def test_factor_neighbours_and_titles(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [0.0, 1.0]), (4, [0.0, 0.0])], "item_id long, vector array<double>")
     support = spark.createDataFrame([(2, 15), (3, 20), (4, 99), (1, 99)], "item_id long, cnt long")
