@@ -1,6 +1,7 @@
 """Benchmark decontamination by the q-gram lemma in diagonal bands, verified by banded alignment.
 
-Texts are lower-cased (A-Z) and white-space runs become one space.  An item of L bytes may have
+Letters are case-folded where the folded form is of the same length in UTF-8 (A-Z and nearly all of Latin, Greek,
+Cyrillic and the other scripts with case) and white-space runs become one space.  An item of L bytes may have
 e = ERROR_RATE * L edits.  A region within e edits of it shares at least L - Q + 1 - Q e of its q-grams, on at
 most e + 1 neighbouring diagonals.  Bands are 2 (e + 1) diagonals wide and begin every e + 1, so one band holds
 them all.  Windows with too few q-grams of any item are passed over before bands are counted; that bound
@@ -27,8 +28,41 @@ ITEM_BYTES = 4 << 20
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _folds() -> np.ndarray:
+    """The UTF-8 bytes, as one number, that a character's case-folded form has; 0 for those that stay."""
+    out = np.zeros(0x1E944, np.uint32)
+    for code in range(0x80, len(out)):
+        if not 0xD800 <= code < 0xE000:
+            own, folded = chr(code).encode(), chr(code).casefold().encode()
+            if own != folded and len(own) == len(folded):
+                out[code] = int.from_bytes(folded, "big")
+    return out
+
+
+FOLDS = _folds()
+
+
+def fold(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with letters case-folded in place."""
+    out = _text.LOWER[data]
+    for size, least, most in ((2, 0xC2, 0xDF), (3, 0xE0, 0xEF), (4, 0xF0, 0xF4)):
+        at = np.flatnonzero((data >= least) & (data <= most))
+        at = at[at + size <= len(data)]
+        if not len(at):
+            continue
+        code = data[at].astype(np.int64) & (0x7F >> size)
+        for k in range(1, size):
+            code = code << 6 | data[at + k] & 0x3F
+        folded = FOLDS[np.minimum(code, len(FOLDS) - 1)]
+        folded[code >= len(FOLDS)] = 0
+        at, folded = at[folded > 0], folded[folded > 0]
+        for k in range(size):
+            out[at + k] = folded >> np.uint32(8 * (size - 1 - k)) & np.uint32(0xFF)
+    return out
+
+
 def normalise(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased bytes with single spaces and none at the ends, and each byte's place in ``raw``."""
+    """Case-folded bytes with single spaces and none at the ends, and each byte's place in ``raw``."""
     space = _text.IS_SPACE[raw]
     keep = ~space
     keep[1:] |= space[1:] & ~space[:-1]
@@ -37,7 +71,7 @@ def normalise(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = place[:-1]
     if len(place) and space[place[0]]:
         place = place[1:]
-    out = _text.LOWER[raw[place]]
+    out = fold(raw[place])
     out[_text.IS_SPACE[out]] = 0x20
     return out, place
 

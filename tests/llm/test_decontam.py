@@ -83,6 +83,17 @@ def test_against_plain_search(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {r.doc_id for r in found}
 
 
+def test_case_of_all_letters():
+    text = "ÀÉÎÕÜ Ÿ Łódź Straße ΑΒΓ Σίσυφος ЖЩЯ Ђ ԱԲ Ạ Ⴀ 𐐀 日本 a"
+    fits = lambda c: len(c.casefold().encode()) == len(c.encode())
+    want = "".join(c.casefold() if fits(c) else c for c in text)
+    assert flat(text).decode() == want and flat("ÀÉŸΣЖ") == flat("àéÿςж")
+    item = "Ðétail éàüöñ çêîôû ääääää öööööö " * 3
+    index = decontam.Index([(1, item)])
+    data, _ = decontam.normalise(np.frombuffer(f"vor {item.upper()} nach".encode(), np.uint8))
+    assert [m[4] for m in index.matches(data, np.array([len(data)]))] == [0]
+
+
 def test_long_insertion_at_the_budget_on_every_diagonal():
     r = random.Random(5)
     item = "".join(r.choice("abcdefghijklmnop") for _ in range(300))
