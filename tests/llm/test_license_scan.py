@@ -61,6 +61,10 @@ def test_winnowing_keeps_every_shared_run():
         assert one & two
 
 
+def test_opening_parts_are_named_headers():
+    assert all(name.endswith(("-header", "-notice")) for name in ls.TEMPLATES)
+
+
 def test_empty(spark):
     assert ls.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert ls.scan_licenses(spark.createDataFrame([(1, "a b c d")], "doc_id long, text string"), {}).count() == 0
