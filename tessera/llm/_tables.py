@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.shared import dropped, written
 
-__all__ = ["components", "dropped", "written"]
+__all__ = ["components", "dropped", "small_batches", "written"]
+
+#: Bytes of an Arrow batch between the executor and its Python workers, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of documents by bytes, not by rows alone: a worker's memory then does not follow the texts' length."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

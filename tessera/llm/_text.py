@@ -10,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_RADIX = U64(0x9E3779B97F4A7C15)
+_STEP = U64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240229)
-#: One odd 64-bit value per byte; a word's hash is their sum weighted by powers of _RADIX.
+#: One odd 64-bit value per byte; a word's hash is their sum, each weighted by a number drawn for its place.
 BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 #: White space of the word rule [^\x20\x09-\x0D]+.
 IS_SPACE = np.zeros(256, bool)
@@ -77,16 +77,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the radix modulo 2**64, grown on demand."""
+    """One odd 64-bit weight for each place, drawn from a counter and made on demand.
+
+    Weights of unrelated places are unrelated, so that no pattern within words (as for powers of one number, the
+    Thue-Morse sequence) makes their sums equal.
+    """
 
     def __init__(self) -> None:
         self.table = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> np.ndarray:
         if len(self.table) < n:
-            more = np.full(max(n, 4096), _RADIX, np.uint64)
-            more[0] = 1
-            self.table = np.multiply.accumulate(more)
+            places = np.arange(1 << max(12, (n - 1).bit_length()), dtype=np.uint64)
+            self.table = mix((places + U64(1)) * _STEP) | U64(1)
         return self.table
 
 

@@ -1,33 +1,41 @@
 """Byte-level BPE through a table of distinct words.
 
-1. Every text is split into words by the GPT-2 rule on UTF-8 bytes.  Texts are taken in blocks of whole rows;
-   a block's distinct words go, packed by bucket of their hash, to the word table.
-2. A bucket of the word table encodes each of its distinct words once and answers every block that asked.
+1. Every text is split into words by the GPT-2 rule on UTF-8 bytes.  Texts are taken in blocks of whole rows.  A
+   block gives its positions in its own distinct words and, packed by bucket of their hash, those words.  Words are
+   told apart by their bytes; a hash only finds them.
+2. A bucket of the word table encodes each of its distinct words once, as the blocks' words stream by, and answers
+   every block that asked.
 3. A block's positions meet its answers: ids are joined back by position, pieces are joined to ids.
 
-A block's name holds a digest of its texts, so that both passes over them must agree; otherwise the query fails.
+The split is made once and dealt by block; the word table reads it from there and the last step finds it in place.
+A block's name holds a digest of its texts: should a lost part be read again from a source that gives other rows,
+the query fails rather than join wrong positions.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import _text
+from tessera.llm import _tables, _text
 
 BLOCK_BYTES = 8 << 20
+#: Distinct words, and their bytes, that a task of the word table holds; beyond, it forgets and encodes words anew.
+WORDS_HELD, WORD_BYTES_HELD = 400_000, 32 << 20
 LETTER, NUMBER, OTHER, SPACE, SPECIAL = 1, 2, 3, 4, 5
 #: Code points above this and outside the tag range have no class of their own: they are OTHER.
 LAST_CLASSED = 0x34000
 
 
 class Vocabulary:
-    """What workers need of a tokenizer file: its text, character classes, pieces and special strings."""
+    """What a tokenizer file says: its text, character classes, pieces and special strings."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -150,9 +158,21 @@ def _numbers(packed: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(_unpack(packed), kind)
 
 
+def _plain(vocabulary: Vocabulary) -> dict:
+    """What workers need, as strings, bytes and arrays: executors need not know any class of this package."""
+    size = [len(p) for p in vocabulary.pieces]
+    return {
+        "text": vocabulary.text,
+        "classes": vocabulary.classes,
+        "specials": [s.encode() for s in vocabulary.special],
+        "pieces": np.frombuffer(b"".join(vocabulary.pieces), np.uint8),
+        "piece_at": np.concatenate(([0], np.cumsum(size, dtype=np.int64))),
+    }
+
+
 def _split_block(raw: np.ndarray, offsets: np.ndarray, classes: np.ndarray, specials: list[bytes], powers: _text.Powers):
-    """All words' hashes of a block, their bytes' place, and words per row."""
-    hashes, starts, ends, counts = [], [], [], []
+    """All words' hashes of a block, their first bytes, and words per row."""
+    hashes, starts, counts = [], [], []
     for lo, hi in _text.chunks(offsets):
         a, b = offsets[lo], offsets[hi]
         part = raw[a:b]
@@ -164,47 +184,81 @@ def _split_block(raw: np.ndarray, offsets: np.ndarray, classes: np.ndarray, spec
             value *= powers.upto(int(size.max()) + 1)[place]
             hashes.append(_text.mix(np.add.reduceat(value, first) + size.astype(np.uint64) * np.uint64(8) + kind))
         starts.append(first + a)
-        ends.append(first + a + size)
         counts.append(np.diff(np.searchsorted(first, offsets[lo : hi + 1] - a)))
     join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return join(hashes, np.uint64), join(starts, np.int64), join(ends, np.int64), join(counts, np.int64)
-
-
-def _blocks(vocabulary, buckets: int, positions: bool):
-    """Packed blocks: their distinct words by bucket, or their rows' positions in those words."""
+    return join(hashes, np.uint64), join(starts, np.int64), join(counts, np.int64)
+
+
+def _distinct(raw: np.ndarray, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place, number per place, how often) of the distinct words, compared byte by byte."""
+    _, first, inverse, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    same = bool((sizes == sizes[first][inverse]).all())
+    at, step = 0, 1 << 17
+    while same and at < len(starts):
+        own = slice(at, at + step)
+        a, b = int(starts[at]), int(starts[own][-1] + sizes[own][-1])
+        other = np.arange(a, b) + np.repeat(starts[first][inverse[own]] - starts[own], sizes[own])
+        same = np.array_equal(raw[a:b], raw[other])
+        at += step
+    if not same:  # two words of one hash
+        data, number = raw.tobytes(), {}
+        inverse = np.array([number.setdefault(data[a : a + n], len(number)) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)], np.int64)
+        _, first, often = np.unique(inverse, return_index=True, return_counts=True)
+    return first, inverse, often
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches in tables of about BLOCK_BYTES."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= BLOCK_BYTES:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+SPLIT = "block string, bucket int, one binary, two binary, three binary, ids array<long>"
+SPLIT_ARROW = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("one", pa.binary()), ("two", pa.binary()), ("three", pa.binary()), ("ids", pa.list_(pa.int64()))])
+
+
+def _blocks(vocabulary, buckets: int):
+    """Packed blocks.  Bucket -1: words per row, places of all words, buckets of the distinct words, ids of the
+    rows; other buckets: sizes and bytes of the block's distinct words in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, number = _text.Powers(), 0
         own = vocabulary.value
-        specials = [s.encode() for s in own.special]
-        for batch in batches:
-            raw_all, offsets_all = _text.utf8(batch.column(1))
+        for table in _gathered(batches):
+            raw_all, offsets_all = _text.utf8(table.column(1))
+            ids, part = table.column(0).combine_chunks(), table.column(2)[0].as_py()
+            del table
             for lo, hi in _text.chunks(offsets_all, BLOCK_BYTES):
                 raw, offsets = raw_all[offsets_all[lo] : offsets_all[hi]], offsets_all[lo : hi + 1] - offsets_all[lo]
-                hashes, starts, ends, counts = _split_block(raw, offsets, own.classes, specials, powers)
-                word, first, inverse, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-                order = np.lexsort((word, -often))
-                bucket = (word[order] % np.uint64(buckets)).astype(np.int64)
-                name = f"{batch.column(2)[0].as_py()}:{number}:{hashlib.blake2b(raw.tobytes() + offsets.tobytes(), digest_size=12).hexdigest()}"
+                hashes, starts, counts = _split_block(raw, offsets, own["classes"], own["specials"], powers)
+                sizes = np.diff(np.append(starts, len(raw)))
+                first, inverse, often = _distinct(raw, hashes, starts, sizes)
+                order = np.lexsort((first, -often))
+                bucket = (hashes[first[order]] % np.uint64(buckets)).astype(np.int64)
+                digest = hashlib.blake2b(np.ascontiguousarray(raw), digest_size=12)
+                digest.update(offsets.tobytes())
+                name = f"{part}:{number}:{digest.hexdigest()}"
                 number += 1
-                if positions:
-                    rank = np.empty(len(order), np.uint32)
-                    rank[order] = np.arange(len(order), dtype=np.uint32)
-                    place = rank[inverse]
-                    planes = b"".join((place >> shift & 255).astype(np.uint8).tobytes() for shift in (0, 8, 16, 24))
-                    row = [name, batch.column(0).slice(lo, hi - lo).to_pylist(), _pack(counts.astype(np.int64).tobytes()), _pack(planes), _pack(bucket.astype(np.uint32).tobytes())]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "ids", "counts", "places", "buckets"])
-                elif len(order):
-                    by = np.argsort(bucket, kind="stable")
-                    cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                    a, b = starts[first[order[by]]], ends[first[order[by]]]
-                    text, at = _slices(raw, a, b)
-                    size = (b - a).astype(np.uint32)
-                    rows = [(i, x, y) for i, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if y > x]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(rows)), pa.array([i for i, _, _ in rows], pa.int32()), pa.array([_pack(size[x:y].tobytes()) for _, x, y in rows], pa.binary()), pa.array([_pack(text[at[x] : at[y]].tobytes()) for _, x, y in rows], pa.binary())],
-                        names=["block", "bucket", "sizes", "words"],
-                    )
+                rank = np.empty(len(order), np.uint32)
+                rank[order] = np.arange(len(order), dtype=np.uint32)
+                place = rank[inverse]
+                del hashes, inverse
+                planes = b"".join((place >> np.uint32(shift) & np.uint32(255)).astype(np.uint8).tobytes() for shift in (0, 8, 16, 24))
+                rows = [(-1, _pack(counts.astype(np.int64).tobytes()), _pack(planes), _pack(bucket.astype(np.uint32).tobytes()), ids.slice(lo, hi - lo).to_pylist())]
+                del place, planes
+                by = np.argsort(bucket, kind="stable")
+                cut = np.searchsorted(bucket[by], np.arange(buckets + 1)).tolist()
+                a = starts[first[order[by]]]
+                size = sizes[first[order[by]]]
+                text, at = _slices(raw, a, a + size)
+                rows += [(i, _pack(size[x:y].astype(np.uint32).tobytes()), _pack(text[at[x] : at[y]].tobytes()), None, None) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SPLIT_ARROW.types[1:], strict=True))], schema=SPLIT_ARROW)
 
     return run
 
@@ -217,70 +271,90 @@ def _slices(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return raw[index], out
 
 
+ANSWERS = "block string, bucket int, sizes binary, ids binary"
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the split that ask the word table."""
+    for batch in batches:
+        for i in np.flatnonzero(batch.column(1).to_numpy() >= 0).tolist():
+            yield pa.RecordBatch.from_arrays([c.slice(i, 1) for c in batch.columns[:4]], names=["block", "bucket", "sizes", "words"])
+
+
 def _word_table(vocabulary):
-    """A bucket: each distinct word is encoded once, then every block gets its words' ids in its own order."""
+    """Streams buckets: each distinct word is encoded once, then every block gets its words' ids in its own order."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        own = vocabulary.value
+        tokenizer = None
         number: dict[bytes, int] = {}
-        asked = []
-        for sizes, words in zip(table.column("sizes").to_pylist(), table.column("words").to_pylist(), strict=True):
-            data, end = _unpack(words), np.cumsum(_numbers(sizes, np.uint32), dtype=np.int64).tolist()
-            asked.append(np.array([number.setdefault(data[a:b], len(number)) for a, b in zip([0, *end[:-1]], end, strict=True)], np.int64))
-        tokenizer = Tokenizer.from_str(own.text)
-        tokenizer.encode_special_tokens = False
-        ids, counts, words = [], [], list(number)
-        for lo in range(0, len(words), 20_000):
-            for e in tokenizer.encode_batch_fast([w.decode() for w in words[lo : lo + 20_000]], add_special_tokens=False):
-                ids.extend(e.ids)
-                counts.append(len(e.ids))
-        flat, at = np.array(ids, np.uint32), np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-        out = []
-        for rows in asked:
-            values, ends = _text.ragged(flat, at, rows)
-            out.append((_pack(np.diff(ends).astype(np.uint32).tobytes()), _pack(values.tobytes())))
-        return pa.table([table.column("block"), table.column("bucket"), pa.array([c for c, _ in out], pa.binary()), pa.array([v for _, v in out], pa.binary())], names=["block", "bucket", "sizes", "values"])
+        held, ids, ends = 0, array("I"), array("q", [0])
+        for batch in batches:
+            if tokenizer is None:
+                tokenizer = Tokenizer.from_str(vocabulary.value["text"])
+                tokenizer.encode_special_tokens = False
+            for r in range(batch.num_rows):
+                block, bucket, sizes, words = (c[r].as_py() for c in batch.columns)
+                if len(number) > WORDS_HELD or held > WORD_BYTES_HELD:
+                    number, held, ids, ends = {}, 0, array("I"), array("q", [0])
+                data, end = _unpack(words), np.cumsum(_numbers(sizes, np.uint32), dtype=np.int64).tolist()
+                known = len(number)
+                rows = np.array([number.setdefault(data[a:b], len(number)) for a, b in zip([0, *end[:-1]], end, strict=True)], np.int64)
+                new, at = np.sort(rows[rows >= known]), np.argsort(rows, kind="stable")
+                at = at[len(rows) - len(new) :].tolist()  # a block's words are distinct: the new ones, in the order of their numbers
+                held += len(data)
+                for lo in range(0, len(at), 4096):
+                    texts = [data[end[i - 1] if i else 0 : end[i]].decode() for i in at[lo : lo + 4096]]
+                    for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                        own = e.ids
+                        ids.extend(own)
+                        ends.append(ends[-1] + len(own))
+                values, out = _text.ragged(np.frombuffer(ids, np.uint32) if len(ids) else np.zeros(0, np.uint32), np.frombuffer(ends, np.int64), rows)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([_pack(np.diff(out).astype(np.uint32).tobytes())], pa.binary()), pa.array([_pack(values.tobytes())], pa.binary())], names=["block", "bucket", "sizes", "ids"])
 
     return run
 
 
 def _assemble(vocabulary, digests: bool):
-    def run(places: pa.Table, answers: pa.Table) -> pa.Table:
+    said: list[np.ndarray] = []
+
+    def run(split: pa.Table, answers: pa.Table) -> pa.Table:
         own = vocabulary.value
-        piece_at = np.concatenate(([0], np.cumsum([len(p) for p in own.pieces], dtype=np.int64)))
-        pieces = np.frombuffer(b"".join(own.pieces), np.uint8)
-        said = [f"{i},".encode() for i in range(len(own.pieces))]
-        said_at = np.concatenate(([0], np.cumsum([len(p) for p in said], dtype=np.int64)))
-        said = np.frombuffer(b"".join(said), np.uint8)
-        parts = {b: (_numbers(s, np.uint32), _numbers(v, np.uint32)) for b, s, v in zip(*(answers.column(c).to_pylist() for c in ("bucket", "sizes", "values")), strict=True)}
-        rows: list[tuple] = []
-        if places.num_rows > 1:
-            raise RuntimeError("two blocks of the same name")
-        if not places.num_rows:
-            raise RuntimeError("the word table holds a block that has no positions: the two passes over the texts differ")
-        bucket = _numbers(places.column("buckets")[0].as_py(), np.uint32)
+        pieces, piece_at = own["pieces"], own["piece_at"]
+        if digests and not said:
+            spelt = [f"{i},".encode() for i in range(len(piece_at) - 1)]
+            said.extend((np.frombuffer(b"".join(spelt), np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in spelt], dtype=np.int64)))))
+        places = split.filter(pa.compute.equal(split.column("bucket"), -1))
+        if places.num_rows != 1:
+            raise RuntimeError("a block was split twice, or the word table answers one that was not: the texts were read again and differ")
+        parts = {b: (s, v) for b, s, v in zip(*(answers.column(c).to_pylist() for c in ("bucket", "sizes", "ids")), strict=True)}
+        bucket = _numbers(places.column("three")[0].as_py(), np.uint32)
         order = np.argsort(bucket, kind="stable")
-        sizes = np.concatenate([parts[b][0] for b in sorted(parts)]) if parts else np.zeros(0, np.uint32)
+        sizes = np.concatenate([_numbers(parts[b][0], np.uint32) for b in sorted(parts)]) if parts else np.zeros(0, np.uint32)
         if len(sizes) != len(bucket):
-            raise RuntimeError("a block's positions and words differ: the two passes over the texts differ")
-        flat = np.concatenate([parts[b][1] for b in sorted(parts)]) if parts else np.zeros(0, np.uint32)
+            raise RuntimeError("a block's positions and words differ: the texts were read again and differ")
+        flat = np.concatenate([_numbers(parts[b][1], np.uint32) for b in sorted(parts)]) if parts else np.zeros(0, np.uint32)
         flat, word_at = _text.ragged(flat, np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), np.argsort(order))
-        planes = _numbers(places.column("places")[0].as_py(), np.uint8).reshape(4, -1)
-        counts = _numbers(places.column("counts")[0].as_py(), np.int64)
+        planes = _numbers(places.column("two")[0].as_py(), np.uint8).reshape(4, -1)
+        counts = _numbers(places.column("one")[0].as_py(), np.int64)
         ends = np.concatenate(([0], np.cumsum(counts)))
         ids = places.column("ids")[0].as_py()
-        for lo, hi in _text.chunks(ends, 1 << 18):
+        del split, answers, places, parts
+        out = []
+        kinds = (pa.int64(), pa.int64(), *((pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.large_string())))
+        names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
+        for lo, hi in _text.chunks(ends, 1 << 17):
             part = planes[:, ends[lo] : ends[hi]].astype(np.int64)
             tokens, token_at = _text.ragged(flat, word_at, part[0] | part[1] << 8 | part[2] << 16 | part[3] << 24)
             row_at = token_at[ends[lo : hi + 1] - ends[lo]]
             text, text_at = _text.ragged(pieces, piece_at, tokens.astype(np.int64))
             if digests:
-                words, words_at = _text.ragged(said, said_at, tokens.astype(np.int64))
+                words, words_at = _text.ragged(*said, tokens.astype(np.int64))
+            rows: list[tuple] = []
             for i in range(hi - lo):
                 a, b = row_at[i], row_at[i + 1]
                 decoded = text[text_at[a] : text_at[b]].tobytes().decode("utf-8", "replace")
@@ -289,9 +363,9 @@ def _assemble(vocabulary, digests: bool):
                     rows.append((ids[lo + i], int(b - a), hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
                 else:
                     rows.append((ids[lo + i], int(b - a), tokens[a:b].astype(np.int32), decoded))
-        kinds = (pa.int64(), pa.int64(), *((pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string())))
-        names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], names=names)
+            out.append(pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names))
+        out = pa.concat_tables(out)
+        return out if digests else out.set_column(3, "decoded", out.column(3).cast(pa.string()))
 
     return run
 
@@ -302,15 +376,17 @@ def encode(docs: DataFrame, path: str, digests: bool = False, id_col: str = "doc
     One row per input row: doc_id, n_tokens, then ids and decoded, or with ``digests`` the SHA-256 of the ids
     joined by commas and of the decoded text.  Special strings of the file within a text become their ids, as
     the tokenizers library does.  Null and empty texts have no tokens and decode to "".  Repeated rows and
-    ids and null ids are kept; other columns are ignored.  ``docs`` is read twice and must give the same rows in
-    the same partitions both times, as a table does; if it does not, the query fails.
+    ids and null ids are kept; other columns are ignored.  An empty table gives an empty result.
+
+    The rows shuffled are at most one for each distinct word of a block of BLOCK_BYTES.
     """
     spark = docs.sparkSession
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(path))  # the file's size bounds it
+    _tables.small_batches(spark)
+    vocabulary = spark.sparkContext.broadcast(_plain(Vocabulary(path)))  # the file's size bounds it
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().alias("part"))
-    words = rows.mapInArrow(_text.lean(_blocks(vocabulary, buckets, False)), "block string, bucket int, sizes binary, words binary")
-    places = rows.mapInArrow(_text.lean(_blocks(vocabulary, buckets, True)), "block string, ids array<long>, counts binary, places binary, buckets binary")
-    answers = words.groupBy("bucket").applyInArrow(_text.lean_group(_word_table(vocabulary)), "block string, bucket int, sizes binary, values binary")
+    split = rows.mapInArrow(_text.lean(_blocks(vocabulary, buckets)), SPLIT).repartition("block")
+    asked = split.mapInArrow(_text.lean(_asked), "block string, bucket int, sizes binary, words binary")
+    answers = asked.repartition("bucket").mapInArrow(_text.lean(_word_table(vocabulary)), ANSWERS)
     end = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return places.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_text.lean_cogroup(_assemble(vocabulary, digests)), f"doc_id long, n_tokens long, {end}")
+    return split.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_text.lean_cogroup(_assemble(vocabulary, digests)), f"doc_id long, n_tokens long, {end}")

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, chat, decontam, language_id, license_scan, pii, quality, secret_scan
+from tessera.llm import _tables, ann, bpe, chat, decontam, language_id, license_scan, pii, quality, secret_scan
 from tessera.llm.ngram_join import ngram_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _tables.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -51,3 +51,39 @@ def test_against_the_library(spark, tmp_path):
 
 def test_empty(spark):
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def thue_morse(bits):
+    words = "a"
+    for _ in range(bits):
+        words += words.translate(str.maketrans("ab", "ba"))
+    return words
+
+
+def test_words_are_told_apart_by_their_bytes(spark, monkeypatch):
+    """Also where all words of one length have one hash."""
+    first = thue_morse(10)
+    rows = [(1, first), (2, first.translate(str.maketrans("ab", "ba"))), (3, "ab ba ab"), (4, "ba")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for flat in (False, True):
+        if flat:
+            monkeypatch.setattr(bpe._text, "BYTE_VALUE", np.ones(256, np.uint64))
+        got = {r.doc_id: (list(r.ids), r.decoded) for r in bpe.encode(docs, PATH).collect()}
+        assert got == {i: expected(t) for i, t in rows}
+
+
+def test_the_word_table_forgets_and_goes_on(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS_HELD", 3)
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 64)
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice("one two three four fünf six7 sept".split()) for _ in range(30))) for i in range(40)]
+    got = {r.doc_id: (list(r.ids), r.decoded) for r in bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()}
+    assert got == {i: expected(t) for i, t in rows}
+
+
+def test_the_split_is_made_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a b")], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    out = bpe.encode(spark.read.parquet(str(tmp_path / "d")), PATH)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
