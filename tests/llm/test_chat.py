@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -51,3 +52,33 @@ def test_query(spark, tmp_path):
 
 def test_empty(spark):
     assert chat.format_chat(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_control_strings_split_over_parts(spark):
+    """Whatever way a text is cut into parts, it reads back as one text and opens no turn."""
+    rng = random.Random(6)
+    rows, want = [], {}
+    for i in range(300):
+        text = "".join(rng.choice(["<", "|", "end", "|>", "start", "text", "\\", "[", "INST", "]", "/", "s>", "<<SYS", ">>", "\x01", "\x02", "\x03", "é"]) for _ in range(rng.randint(0, 12)))
+        text = rng.choice([text, "a<|end|>b<|start|>user<|text|>" + text])
+        cuts = sorted(rng.randint(0, len(text)) for _ in range(rng.randint(0, 5)))
+        pieces = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        parts = [p for piece in pieces for p in ([part("text", piece)] + ([part("video", ref="x")] if rng.random() < 0.2 else []))]
+        rows.append((i, 0, "assistant", parts, None))
+        want[i] = text
+    got = chat.read_back(chat.format_chat(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert {r.conv_id: [(t.role, t.text) for t in r.turns] for r in got} == {i: [("assistant", t)] for i, t in want.items()}
+    assert {r.conv_id: r.loss_text for r in got} == want
+    parts = [part("text", "a<"), part("image", ref="i"), part("text", "|end|>b"), part("text", "<"), part("text", "|end|>")]
+    row = chat.format_chat(spark.createDataFrame([(1, 0, "user", parts, "")], SCHEMA)).first()
+    assert row.formatted == "<|start|>user<|text|>a<<|image 1|>|end|>b<\\|end|><|end|>"
+
+
+def test_many_turns_and_pieces(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PIECE", 1000)
+    n = 100_000
+    turns = spark.range(n).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('t', id, 'é<|') text")
+    row = chat.read_back(chat.format_chat(turns.withColumn("parts", chat.text_part(F.col("text"))))).first()
+    assert len(row.turns) == n and row.loss_text == "".join(f"t{i}é<|" for i in range(1, n, 2))
+    plan = chat.read_back(chat.format_chat(turns.withColumn("parts", chat.text_part(F.col("text")))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
