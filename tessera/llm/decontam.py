@@ -10,6 +10,7 @@ follows from the same lemma, so it loses nothing.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,6 +106,7 @@ class Index:
         self.first = np.searchsorted(at[order], np.arange(len(self.key) + 1))
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self._slot(self.key)] = True
+        self.shift = int(size.max(initial=0)) + int(self.edits.max(initial=0)) + 1
         reach = size + self.edits
         self.window = int(reach.min()) if len(reach) else 1
         self.needed = int(np.ceil((self.least / -(-reach // self.window)).min())) if len(reach) else 1
@@ -115,7 +117,10 @@ class Index:
         return ((key * _SPREAD) >> np.uint64(64 - TABLE_BITS)).astype(np.intp)
 
     def matches(self, data: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(row, item, start, end, edits) in ``data``, rows ending at ``ends``; start and end count within data."""
+        """(row, item, start, end, edits) in ``data``, rows ending at ``ends``; start and end count within data.
+
+        Places may overlap; settled() chooses among them.
+        """
         n = len(data) - Q + 1
         if n <= 0 or not len(self.items):
             return []
@@ -142,14 +147,14 @@ class Index:
         item, diagonal = self.item[entry], where - self.place[entry]
         row = np.searchsorted(ends, where, "right")
         step = self.edits[item] + 1
-        band = (diagonal + (1 << 20)) // step
-        rows_items = row * len(self.items) + item
+        band = (diagonal + self.shift) // step
+        pairs, rows_items = np.unique(row * len(self.items) + item, return_inverse=True)
         # group b holds the hits of bands b and b + 1: diagonals b (e + 1) to (b + 2) (e + 1) - 1
         group, count = _count(np.concatenate((rows_items, rows_items)), np.concatenate((band, band - 1)))
-        own = group[0] % len(self.items)
+        own = pairs[group[0]] % len(self.items)
         found = set()
-        for g, b, i in zip(group[0][ok := count >= self.least[own]].tolist(), group[1][ok].tolist(), own[ok].tolist(), strict=True):
-            found.add((g // len(self.items), i, b * int(self.edits[i] + 1) - (1 << 20)))
+        for g, b, i in zip(pairs[group[0][ok := count >= self.least[own]]].tolist(), group[1][ok].tolist(), own[ok].tolist(), strict=True):
+            found.add((g // len(self.items), i, b * int(self.edits[i] + 1) - self.shift))
         out: list[tuple[int, int, int, int, int]] = []
         begins = np.concatenate(([0], ends[:-1]))
         for r, i, low in sorted(found):
@@ -158,11 +163,22 @@ class Index:
             got = verify(self.items[i], data[a:b], e)
             if got:
                 out.append((r, i, a + got[0], a + got[1], got[2]))
-        best: list[tuple[int, int, int, int, int]] = []
-        for m in sorted(set(out), key=lambda m: (m[0], m[1], m[4], m[2], m[3])):
-            if not any(m[:2] == o[:2] and m[2] < o[3] and o[2] < m[3] for o in best[-64:]):
-                best.append(m)
-        return best
+        return out
+
+
+def settled(places: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Of overlapping places (row, item, start, end, edits) of one row and item those with the fewest edits, then the
+    first, then the shortest; in the order of row, item and start."""
+    out: list[tuple[int, int, int, int, int]] = []
+    kept: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for r, i, s, t, e in sorted(set(places), key=lambda m: (m[4], m[2], m[3])):
+        own = kept.setdefault((r, i), [])
+        at = bisect_left(own, (s, t, e))
+        if (at == 0 or own[at - 1][1] <= s) and (at == len(own) or own[at][0] >= t):
+            own.insert(at, (s, t, e))
+    for (r, i), own in sorted(kept.items()):
+        out += [(r, i, *place) for place in own]
+    return out
 
 
 def _count(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,24 +237,27 @@ def verify(item: np.ndarray, region: np.ndarray, edits: int) -> tuple[int, int,
 
 
 def _rows(index: Index, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, item, start, end, edits) with byte places in the row's own text."""
+    """(row, item, start, end, edits) with byte places in the row's own text.
+
+    A long row is searched in segments that overlap by more than any place and its surroundings, and its places are
+    settled together: the segments leave no trace.
+    """
+    segment = max(SEGMENT, 4 * index.margin)
     for lo, hi in _text.chunks(offsets, SEGMENT):
         pieces = [normalise(raw[offsets[r] : offsets[r + 1]]) for r in range(lo, hi)]
-        if hi - lo == 1 and len(pieces[0][0]) > 2 * SEGMENT:
+        if hi - lo == 1 and len(pieces[0][0]) > 2 * segment:
             data, place = pieces[0]
-            kept: list[tuple] = []
-            for a in range(0, len(data), SEGMENT):
-                part = data[max(0, a - 2 * index.margin) : a + SEGMENT]
-                kept += [(i, s + max(0, a - 2 * index.margin), t + max(0, a - 2 * index.margin), e) for _, i, s, t, e in index.matches(part, np.array([len(part)]))]
-            last: dict[int, int] = {}
-            for i, s, t, e in sorted(set(kept), key=lambda m: (m[0], m[1], m[3])):
-                if s >= last.get(i, -1):
-                    last[i] = t
-                    yield lo, i, int(place[s]), int(place[t - 1]) + 1, e
+            found: list[tuple] = []
+            for a in range(0, len(data), segment):
+                base = max(0, a - 2 * index.margin)
+                part = data[base : a + segment]
+                found += [(0, i, s + base, t + base, e) for _, i, s, t, e in index.matches(part, np.array([len(part)]))]
+            for _, i, s, t, e in settled(found):
+                yield lo, i, int(place[s]), int(place[t - 1]) + 1, e
             continue
         ends = np.cumsum([len(d) for d, _ in pieces])
         data = np.concatenate([d for d, _ in pieces])
-        for r, i, s, t, e in index.matches(data, ends):
+        for r, i, s, t, e in settled(index.matches(data, ends)):
             base, place = int(ends[r]) - len(pieces[r][0]), pieces[r][1]
             yield lo + r, i, int(place[s - base]), int(place[t - base - 1]) + 1, e
 
@@ -277,7 +296,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     One row per place: doc_id, item_id, start and end (characters of the text) and edits.  Of overlapping
     places of an item the one with the fewest edits, then the first, stays.  Null and empty texts and null items
     match nothing, nor do items under Q bytes; repeated rows and items report each; a null id is reported as
-    null.  Other columns are ignored.  Without items the result is empty.
+    null.  Other columns are ignored.  Without rows or items the result is empty.  Whole copies of items of any length
+    are found at once; a damaged copy costs an alignment of the item's length times its edits.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     out = None
@@ -300,7 +320,10 @@ def _clean(index: Index, at: int):
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no benchmark item, with all their columns; rules as in find_leaks."""
+    """The rows of docs that hold no benchmark item, with all their columns of any name; rules as in find_leaks.
+
+    Null and empty texts hold none and stay, and so do all rows where there are no items.
+    """
     for index in indexes(benchmark):
         docs = docs.mapInArrow(_text.lean(_clean(index, docs.columns.index(text_col))), docs.schema)
     return docs

@@ -91,7 +91,7 @@ def test_case_of_all_letters():
     item = "Ðétail éàüöñ çêîôû ääääää öööööö " * 3
     index = decontam.Index([(1, item)])
     data, _ = decontam.normalise(np.frombuffer(f"vor {item.upper()} nach".encode(), np.uint8))
-    assert [m[4] for m in index.matches(data, np.array([len(data)]))] == [0]
+    assert [m[4] for m in decontam.settled(index.matches(data, np.array([len(data)])))] == [0]
 
 
 def test_long_insertion_at_the_budget_on_every_diagonal():
@@ -105,7 +105,43 @@ def test_long_insertion_at_the_budget_on_every_diagonal():
     assert index.edits[0] == 24 == least_edits(item, "".join(leak))
     for offset in range(60):
         data = np.frombuffer(("-" * offset + "".join(leak) + "-" * 40).encode(), np.uint8)
-        assert index.matches(data, np.array([len(data)])) == [(0, 0, offset, offset + 310, 24)]
+        assert decontam.settled(index.matches(data, np.array([len(data)]))) == [(0, 0, offset, offset + 310, 24)]
+
+
+@pytest.mark.parametrize("copies", [1, 60, 200])
+def test_many_copies_each_after_a_damaged_one(spark, copies):
+    r = random.Random(copies)
+    item = "".join(r.choice("abcdefghijklmnop") for _ in range(200))
+    text = "".join(f"{item[:180]}{item}---" for _ in range(copies))
+    got = sorted((x.start, x.end, x.edits) for x in decontam.find_leaks(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect())
+    exact = [m for m in got if not m[2]]
+    assert exact == [(383 * i + 180, 383 * i + 380, 0) for i in range(copies)]
+    assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_segments_leave_no_trace(monkeypatch):
+    """A long text cut into segments at any place gives what it gives in one piece."""
+    r = random.Random(2)
+    item = "".join(r.choice("abcdefghijklmnop") for _ in range(220))
+    index = decontam.Index([(1, item)])
+    filler = lambda n: "".join(r.choice("qrstuvwxyz") for _ in range(n))
+    text = "".join(filler(r.randint(30, 900)) + edit(item, r.randint(0, 17)) for _ in range(60))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    offsets = np.array([0, len(raw)])
+    whole = list(decontam._rows(index, raw, offsets))
+    assert len(whole) == 60
+    for segment in (4 * index.margin, 4 * index.margin + 131, 3001):
+        monkeypatch.setattr(decontam, "SEGMENT", segment)
+        assert len(raw) > 2 * max(segment, 4 * index.margin) and list(decontam._rows(index, raw, offsets)) == whole
+
+
+def test_item_of_over_a_mebibyte():
+    r = np.random.default_rng(3)
+    item = r.integers(97, 117, 1_300_000).astype(np.uint8).tobytes().decode()
+    index = decontam.Index([(9, item)])
+    text = "x" * 5000 + item + "y" * 700
+    raw = np.frombuffer(text.encode(), np.uint8)
+    assert list(decontam._rows(index, raw, np.array([0, len(raw)]))) == [(0, 0, 5000, 5000 + len(item), 0)]
 
 
 def test_empty(spark):
