@@ -1,7 +1,13 @@
-"""Licence scans: winnowed fingerprints of templates pick candidates, banded alignment measures them."""
+"""Licence scans: winnowed fingerprints of templates pick candidates, banded alignment measures them.
+
+Templates that differ in a version or variant mark those words, and a match must hold them in one run.  Of matches
+that overlap the one that explains most words, and leaves fewest over on either side, stands for them all.
+"""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _text
+from tessera.llm.license_texts import TEMPLATES
 
 #: Words in a fingerprint, and fingerprints in a winnowing window: any run of GRAM + WINDOW - 1 words that a text
 #: shares with a template has at least one chosen fingerprint in common.
@@ -18,25 +25,6 @@ LEAST_COVERAGE = 0.8
 MATCH, MISMATCH, GAP = 2, -1, -1
 TABLE_BITS = 16
 
-# Licence notices as their authors publish them, and headers, the opening parts of texts or files; a header's
-# span and coverage are its own, not the whole licence's.
-TEMPLATES: dict[str, str] = {
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "bsd-conditions-header": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "cc-by-4.0-notice": "Licensed under CC BY 4.0.",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0.",
-    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "isc-header": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "mit-header": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "mit-notice": "Released under the MIT License.",
-    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "unlicense-header": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-}
-
 #: Words are runs of ASCII letters, digits and bytes beyond ASCII.
 BETWEEN = np.ones(256, bool)
 BETWEEN[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = False
@@ -62,15 +50,28 @@ def fingerprints(hashes: np.ndarray, ends: np.ndarray, powers: _text.Powers) ->
     return at, value[at]
 
 
+def parsed(template: str, powers: _text.Powers) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """A template's word hashes, and the runs of words (from, to) that stand in braces."""
+    hashes, runs = [], []
+    for i, part in enumerate(re.split("[{}]", template)):
+        raw = np.frombuffer(part.encode(), np.uint8)
+        own = _text.words(raw, np.array([0, len(raw)]), powers, BETWEEN)[0]
+        if i % 2 and len(own):
+            at = sum(map(len, hashes))
+            runs.append((at, at + len(own)))
+        hashes.append(own)
+    return np.concatenate(hashes), runs
+
+
 class Templates:
     """An inverted index from fingerprints to (template, place)."""
 
     def __init__(self, templates: dict[str, str]) -> None:
         powers = _text.Powers()
-        self.names, self.words, keys, own, places = [], [], [], [], []
+        self.names, self.words, self.runs, keys, own, places = [], [], [], [], [], []
         for name in sorted(templates):
-            raw = np.frombuffer(templates[name].encode(), np.uint8)
-            hashes, _, _, _ = _text.words(raw, np.array([0, len(raw)]), powers, BETWEEN)
+            hashes, runs = parsed(templates[name], powers)
+            self.runs.append(runs)
             at, value = fingerprints(hashes, np.array([len(hashes)]), powers)
             keys.append(value)
             places.append(at)
@@ -103,9 +104,9 @@ class Templates:
         return np.repeat(at, many), self.template[entry], self.place[entry]
 
 
-def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int, np.ndarray]:
     """Best local alignment on diagonals low..high (text place - template place): matched words, first and last
-    place (exclusive) in the text."""
+    place (exclusive) in the text, and each template word's place in the text (-1: not matched)."""
     n, m, width = len(template), len(text), high - low + 1
     place = np.arange(width)
     table = np.zeros((n + 1, width), np.int32)
@@ -118,21 +119,53 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
         row[:-1] = np.maximum(row[:-1], table[i - 1, 1:] + GAP)
         row = np.where(inside, row, 0)
         table[i] = np.where(inside, np.maximum.accumulate(row - GAP * place) + GAP * place, 0)
+    where = np.full(n, -1, np.int64)
     if not table.any():
-        return 0, 0, 0
+        return 0, 0, 0, where
     i, k = np.unravel_index(int(table.argmax()), table.shape)
-    end, matched, start = low + int(k) + int(i), 0, low + int(k) + int(i)
+    end, start = low + int(k) + int(i), low + int(k) + int(i)
     while i > 0 and table[i, k] > 0:
         j = low + k + i - 1
         same = bool(text[j] == template[i - 1])
         if table[i, k] == max(table[i - 1, k] + (MATCH if same else MISMATCH), 0):
-            matched, start = matched + same, j
+            if same:
+                where[i - 1] = j
+            start = j
             i -= 1
         elif k + 1 < width and table[i, k] == table[i - 1, k + 1] + GAP:
             i, k = i - 1, k + 1
         else:
             k -= 1
-    return matched, start, end
+    return int(np.count_nonzero(where >= 0)), start, end, where
+
+
+def accepted(template: np.ndarray, runs: list[tuple[int, int]], text: np.ndarray, low: int, high: int, least: float) -> Iterator[tuple[int, int, int]]:
+    """(matched, first, end) of the matches on diagonals low..high, best first, then on either side of it."""
+    if len(text) < least * len(template) or low > high:
+        return
+    matched, first, end, where = align(template, text, low, high)
+    if matched < least * len(template):
+        return
+    whole = all(where[a] >= 0 and np.array_equal(where[a:b], where[a] + np.arange(b - a)) for a, b in runs)
+    if whole and matched >= least * (end - first):
+        yield matched, first, end
+    for a, b in ((0, first), (end, len(text))):
+        for count, x, y in accepted(template, runs, text[a:b], max(low - a, -len(template)), min(high - a, b - a), least):
+            yield count, x + a, y + a
+
+
+def settled(found: list[tuple[int, int, int, int]], sizes: list[int]) -> list[tuple[int, int, int, int]]:
+    """Of (template, matched, first, end) that overlap, the one with the most matched words over what is unmatched in
+    the template and in the text; then the earlier, the shorter, the lesser name.  In the order of the text."""
+    order = sorted(set(found), key=lambda f: (f[3] - f[2] + sizes[f[0]] - 3 * f[1], f[2], f[3], f[0]))
+    out: list[tuple[int, int, int, int]] = []
+    starts: list[int] = []
+    for f in order:
+        at = bisect_left(starts, f[2])
+        if (at == 0 or out[at - 1][3] <= f[2]) and (at == len(out) or starts[at] >= f[3]):
+            out.insert(at, f)
+            starts.insert(at, f[2])
+    return out
 
 
 FOUND = "doc_id long, license string, coverage double, matched int, start long, end long"
@@ -164,30 +197,35 @@ def _matches(index: Templates, powers: _text.Powers, raw: np.ndarray, offsets: n
     order = np.lexsort((diagonal, template, row))
     row, template, diagonal = row[order], template[order], diagonal[order]
     slack = np.array([max(4, len(w) // 6) for w in index.words])
-    # a candidate: hits of one row and template on neighbouring diagonals
+    sizes = [len(w) for w in index.words]
+    # a candidate: hits of one row and template on neighbouring diagonals; a long chain of them is taken in windows that
+    # overlap by all that a match may shift
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (template[1:] != template[:-1]) | (diagonal[1:] - diagonal[:-1] > slack[template[1:]])
     cut = np.append(np.flatnonzero(new), len(row))
-    last: tuple = ()
+    found: dict[int, list[tuple[int, int, int, int]]] = {}
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         r, t = int(row[a]), int(template[a])
-        words, room = index.words[t], int(slack[t])
-        lo = max(int(at[r]), int(diagonal[a]) - room)
-        hi = min(int(at[r + 1]), int(diagonal[b - 1]) + len(words) + room)
-        matched, first, end = align(words, hashes[lo:hi], int(diagonal[a]) - room - lo, int(diagonal[b - 1]) + room - lo)
-        first, end = first + lo, end + lo
-        if matched < least * len(words) or last[:2] == (r, t) and first < last[2]:
-            continue
-        last = (r, t, end)
-        yield base + r, index.names[t], matched / len(words), matched, int(starts[first] - offsets[r]), int(starts[end - 1] + lengths[end - 1] - offsets[r])
+        words, room, last = index.words[t], int(slack[t]), int(diagonal[b - 1])
+        for d in range(int(diagonal[a]), last + 1, 2 * len(words) + room):
+            low, high = d - room, min(d + 2 * len(words) + room, last) + room
+            lo, hi = max(int(at[r]), low), min(int(at[r + 1]), high + len(words))
+            for matched, first, end in accepted(words, index.runs[t], hashes[lo:hi], low - lo, high - lo, least):
+                found.setdefault(r, []).append((t, matched, first + lo, end + lo))
+    for r in sorted(found):
+        for t, matched, first, end in settled(found[r], sizes):
+            yield base + r, index.names[t], matched / sizes[t], matched, int(starts[first] - offsets[r]), int(starts[end - 1] + lengths[end - 1] - offsets[r])
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least_coverage: float = LEAST_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Places where a text holds at least ``least_coverage`` of a template's words in order.
 
     One row per place: doc_id, license, coverage (matched words over the template's), matched, start and end
-    (characters).  Templates of under GRAM + WINDOW - 1 words are not sure to be found.  Null and empty texts
-    match nothing; repeated rows report each; a null id is reported as null.  Other columns are ignored.
+    (characters).  As large a share of the place's own words must be matched, and every run of words that the template
+    has in {braces}, without a gap.  Places do not overlap: the best explained is reported, ties go to the earlier, the
+    shorter, the lesser name.  Templates of under GRAM + WINDOW - 1 words are not sure to be found.  Null and empty texts
+    match nothing; repeated rows report each; a null id is reported as null.  Other columns are ignored; an empty table
+    gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     return rows.mapInArrow(_text.lean(_scan(TEMPLATES if templates is None else templates, least_coverage)), FOUND)
