@@ -14,11 +14,11 @@ from tessera.llm import _tables, _text
 
 #: Bound of the sample that the centroids are fitted on.
 SAMPLE = 20_000
-#: Most centroids of a half: the list table has at most MOST_CENTROIDS**2 rows.
-MOST_CENTROIDS = 64
+#: Most centroids of a half: lists grow with the table up to MOST_CENTROIDS**2, whose sizes reach the driver.
+MOST_CENTROIDS = 512
 ENTRIES_PER_LIST = 64
-#: Entries of a block and queries that meet it at once.
-BLOCK, QUERY_BLOCK = 4096, 4096
+#: Entries of a block, and probes that meet a copy of it at once.
+BLOCK, QUERY_BLOCK = 16_384, 16_384
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = 5, rounds: int = 12) -> np.ndarray:
@@ -98,7 +98,8 @@ def _entries(sizes: np.ndarray, blocks: int):
     return run
 
 
-def _probes(centres: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, blocks: int, wanted: int, query_blocks: int, width: int):
+def _probes(centres: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, blocks: int, wanted: int, width: int):
+    """One row for each query and block that holds a list it visits."""
     half = width // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +115,8 @@ def _probes(centres: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, blocks: i
                 own = np.repeat(cells, parts)
                 place = _place(own, np.arange(len(own)) - np.repeat(np.cumsum(parts) - parts, parts), blocks)
                 for block in np.unique(place):
-                    out.append((int(block), query % query_blocks, query, x[i].tobytes(), np.unique(own[place == block]).astype(np.int32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "part", "query_id", "query", "cells"])
+                    out.append((int(block), query, x[i].tobytes(), np.unique(own[place == block]).astype(np.int32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "query_id", "query", "cells"])
 
     return run
 
@@ -152,7 +153,8 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10,
 
     ``is_query`` is a condition on vec_id.  Every row is indexed; a query never finds rows of its own id.
     Each query visits lists in the order of summed centroid distances until they hold ``share`` of all rows
-    (at least 20 k); share 1 is exact.  Scores are in double precision on the original vectors; ties go to the
+    (at least 20 k); share 1 is exact.  It is sent to the blocks of those lists only, and a block is copied once for
+    QUERY_BLOCK probes of it: what is shuffled follows the lists visited.  Scores are in double precision on the original vectors; ties go to the
     smaller id.  Rows with a null id, or whose vector is null, zero, of another width than most, or has null
     or non-finite components take no part.  Of query rows with the same id the least vector asks; as
     candidates, repeated rows count each.  Other columns are ignored; an empty table gives an empty result.
@@ -182,11 +184,13 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10,
         sizes[r["cell"]] = r["count"]
     blocks = -(-total // BLOCK)
     queries = index.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     wanted = total if share >= 1 else max(20 * k, int(np.ceil(share * total)))
 
-    entries = index.mapInArrow(_entries(sizes, blocks), "block int, vec_id long, vec binary, cell int")
-    entries = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    probes = queries.mapInArrow(_probes(centres, sizes, blocks, wanted, query_blocks, width), "block int, part int, query_id long, query binary, cells binary")
+    probes = queries.mapInArrow(_probes(centres, sizes, blocks, wanted, width), "block int, query_id long, query binary, cells binary")
+    probes = _tables.written(probes, "probes")
+    copies = probes.groupBy("block").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("copies"))  # one row a block
+    entries = index.mapInArrow(_entries(sizes, blocks), "block int, vec_id long, vec binary, cell int").join(copies, "block")
+    entries = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    probes = probes.join(copies, "block").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("copies")).cast("int")).drop("copies")
     found = entries.groupBy("block", "part").cogroup(probes.groupBy("block", "part")).applyInArrow(_rerank(k, width, lists), "query_id long, vec_id long, score double")
     return found.withColumn("rank", F.expr("row_number() over (partition by query_id order by score, vec_id)")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -292,13 +292,18 @@ def replace_pii(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text",
     A find that is not valid is tried at its shorter lengths, down to 13 digits of a card; an IBAN has its country's
     length and a telephone of +1 ten digits, so a number behind a space is not taken in.  With other country codes
     digits parted by spaces only are one telephone.  Numbers that fail validation stay.  Under one key equal values become equal values in every document;
-    ``back`` undoes it.  Null and empty texts stay as they are; no row is dropped or added.
+    ``back`` undoes it.  Null and empty texts stay as they are; no row is dropped or added.  Other columns, of any
+    name, stay; an empty table gives an empty one.
     """
     typed = docs.withColumn(text_col, F.col(text_col).cast("string"))
     return typed.mapInArrow(_text.lean(_run(key, typed.columns.index(text_col), back, False)), typed.schema)
 
 
 def pii_spans(docs: DataFrame, key: bytes = DEMO_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text with pseudonyms and spans (kind, start, end in that text), one row per input row."""
+    """doc_id, text with pseudonyms and spans (kind, start, end in that text), one row per input row.
+
+    Null texts stay null with no spans; null and repeated ids and repeated rows each give their row; other columns are
+    ignored; an empty table gives an empty result.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_text.lean(_run(key, 1, False, True)), "doc_id long, text string, spans array<struct<kind: string, start: int, end: int>>")

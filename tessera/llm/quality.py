@@ -106,6 +106,10 @@ def _keep(model: Model | None, text_at: int):
 
 
 def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs that ``score`` predicts as 1, with all their columns, in one pass and without a join."""
+    """The rows of docs that ``score`` predicts as 1, with all their columns, in one pass and without a join.
+
+    Null and empty texts go, as they score 0; without a model all others stay.  Ids and other columns, of any name,
+    are of no concern; repeated rows go or stay together; an empty table gives an empty one.
+    """
     at = docs.columns.index(text_col)
     return docs.mapInArrow(_text.lean(_keep(model, at)), docs.schema)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Characters on either side of a candidate that are looked at.
 CONTEXT = 48
+#: Hits of a text whose lengths are added up at once.
+RUN_HITS = 256
 #: Rows that labelled_findings makes: the bound of the forest's training set.
 FINDINGS = 3600
 TREES, DEPTH = 24, 7
@@ -50,13 +52,16 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("hits", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).withColumn("gaps", F.split("text", CANDIDATE, -1))
     # a hit starts after the gaps up to its own and the hits before it
     size = F.transform("hits", lambda h, i: F.length(h) + F.length(F.get("gaps", i)))
-    rows = rows.select("doc_id", "path", "hits", "gaps", size.alias("size"))
-    begin = F.aggregate("size", F.array(F.lit(0)), lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + s)))
-    rows = rows.withColumn("begin", begin)
+    rows = rows.select("doc_id", "path", "hits", "gaps", size.alias("size")).where(F.size("hits") > 0)
+    # a running sum in runs of RUN_HITS hits, so that many hits in one text do not cost their square
+    add = lambda sizes: F.aggregate(sizes, F.lit(0), lambda a, s: a + s)
+    runs = F.transform(F.sequence(F.lit(0), F.size("size") - 1, F.lit(RUN_HITS)), lambda k: add(F.slice("size", k + 1, RUN_HITS)))
+    rows = rows.withColumn("base", F.aggregate(runs, F.array(F.lit(0)), lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + s))))
+    begin = lambda i: F.get("base", F.floor(i / RUN_HITS).cast("int")) + add(F.slice("size", F.floor(i / RUN_HITS).cast("int") * RUN_HITS + 1, i % RUN_HITS))
     hit = F.transform(
         "hits",
         lambda h, i: F.struct(
-            (F.get("begin", i) + F.length(F.get("gaps", i))).alias("start"),
+            (begin(i) + F.length(F.get("gaps", i))).alias("start"),
             h.alias("hit"),
             F.right(F.get("gaps", i), F.lit(CONTEXT)).alias("before"),
             F.left(F.get("gaps", i + 1), F.lit(CONTEXT)).alias("after"),
@@ -146,7 +151,8 @@ def scan_secrets(docs: DataFrame, forest: RandomForestClassificationModel, least
     sha256 (of the value) and score, for candidates that the forest gives ``least`` or more.
 
     Null and empty texts hold none.  Repeated rows report each; a null id is reported as null; a null path is no
-    path.  Secrets of any number and length within a text are found.  Other columns are ignored.
+    path.  Secrets of any number and length within a text are found.  Other columns are ignored; an empty table
+    gives an empty result.
     """
     rows = scored(candidates(docs, id_col, text_col, path_col).where("length(value) >= 8"), forest).where(F.col("score") >= least)
     rule = F.when(F.col("value").rlike(rf"^(?:{PROVIDERS})"), "provider").when(F.col("before").rlike(rf"{ASSIGNED}$"), "assigned").otherwise("run")
