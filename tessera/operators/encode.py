@@ -5,27 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import ranking
+
 
 def id_map(*columns: DataFrame) -> DataFrame:
     """(id, idx): the distinct ids of the one-column frames, numbered from 0 in rising order.
 
-    Ids are range-partitioned and counted per partition, so no task sees all of them.
+    Ids are range-partitioned and counted by partition, so no task sees all of them.
     """
     ids = columns[0].toDF("id")
     for other in columns[1:]:
         ids = ids.unionByName(other.toDF("id"))
     ids = ids.where("id is not null").distinct()
-    ranged = ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_n", F.row_number().over(_window("_part", "id")))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_c"))  # one row a partition
-    before = counts.select("_part", F.expr("coalesce(sum(_c) over (order by _part rows between unbounded preceding and 1 preceding), 0)").alias("_before"))
-    return ranged.join(F.broadcast(before), "_part").select("id", (F.col("_before") + F.col("_n") - 1).cast("long").alias("idx"))
-
-
-def _window(part: str, order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(part).orderBy(order)
+    return ranking.numbered(ids, "id").select("id", "idx")
 
 
 def matrix(interactions: DataFrame, binary: bool = False) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import ranking
+
 
 def counts(interactions: DataFrame) -> DataFrame:
     """(item_id, cnt)."""
@@ -20,13 +22,9 @@ def top(popular: DataFrame, n: int) -> DataFrame:
 def ranks(popular: DataFrame) -> DataFrame:
     """(item_id, cnt, pop_rank) of every item.
 
-    Items are counted by cnt first; a rank is the items of larger counts plus the place among those of the same.
-    So no task sorts the catalogue.
+    Ranks are places in a range-partitioned order, so no task sorts the catalogue nor all items of one count.
     """
-    per_count = popular.groupBy("cnt").agg(F.count("*").alias("_same"))
-    larger = per_count.select("cnt", F.expr("coalesce(sum(_same) over (order by cnt desc rows between unbounded preceding and 1 preceding), 0)").alias("_larger"))
-    place = F.row_number().over(Window.partitionBy("cnt").orderBy("item_id"))
-    return popular.withColumn("_place", place).join(larger, "cnt").select("item_id", "cnt", (F.col("_larger") + F.col("_place")).alias("pop_rank"))
+    return ranking.numbered(popular.select("item_id", "cnt"), F.desc("cnt"), F.col("item_id")).select("item_id", "cnt", (F.col("idx") + 1).alias("pop_rank"))
 
 
 def unseen_popular(users: DataFrame, seen: DataFrame, popular: DataFrame) -> DataFrame:
@@ -37,8 +35,7 @@ def unseen_popular(users: DataFrame, seen: DataFrame, popular: DataFrame) -> Dat
     """
     load = seen.groupBy("user_id").agg(F.count("*").alias("_s"))
     asked = users.join(load, "user_id", "left").withColumn("_k", (F.col("need") + F.coalesce("_s", F.lit(0))).cast("long"))
-    most = asked.agg(F.max("_k")).first()[0] or 0
-    best = top(popular, most)
+    best = ranks(popular)
     slots = asked.where("need > 0").select("user_id", "need", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k"))).alias("pop_rank"))
     open_slots = slots.join(best, "pop_rank").join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("user_id").orderBy("pop_rank"))

@@ -5,6 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import written
+
+
+def numbered(rows: DataFrame, *order: Column | str, name: str = "idx") -> DataFrame:
+    """rows with their place from 0 in the whole order, which must be total: no task sorts or sees all of them.
+
+    Rows are range-partitioned, sorted and written once with their place in their partition; places then only need
+    the sizes of the partitions before, one row each.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = sizes.select("_part", F.expr("coalesce(sum(_size) over (order by _part rows between unbounded preceding and 1 preceding), 0)").alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_at", "_before")
+
 
 def top_n(scored: DataFrame, n: int, by: str = "user_id", item: str = "item_id", score: str = "score") -> DataFrame:
     """The n best rows of each ``by``, ranked from 1: score falling, then item rising."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import written
+
 #: Similarities are summed as whole billionths, so that sums do not depend on their order.
 SCALE = 1_000_000_000
 
@@ -56,20 +58,39 @@ def jaccard_nested(sets: DataFrame, item: str = "item_id", token: str = "token")
     return rows.join(other, F.col("a") < F.col("b")).select("a", "b", (F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))).alias("sim"))
 
 
-def jaccard_at_least(sets: DataFrame, threshold: float, item: str = "item_id", token: str = "token") -> DataFrame:
+def jaccard_at_least(sets: DataFrame, threshold: float, item: str = "item_id", token: str = "token", expand: bool = True) -> DataFrame:
     """(a, b, shared, sim) for a < b with a similarity of ``threshold`` or more, by prefix filtering.
 
     In the order of rising frequency, two sets that reach the threshold share one of their first
-    n - ceil(threshold n) + 1 tokens, so frequent tokens are hardly ever joined on; sizes must fit too.
+    n - ceil(threshold n) + 1 tokens, so frequent tokens are hardly ever joined on.  Sizes must fit, and after the
+    first token in common enough places must be left in both sets for the overlap that the threshold asks for.
+    Equal sets are joined as one; their rows are multiplied at the end.  Without ``expand`` they are not: pairs then
+    are those of the least items of equal sets, and each item with the least one of its set, which links the same
+    items.  Candidates carry their sets and are verified by one pass over them.
     """
     rows = sets.select(F.col(item).alias("item"), F.col(token).alias("token")).distinct()
     freq = rows.groupBy("token").agg(F.count("*").alias("df"))
-    whole = Window.partitionBy("item")
-    placed = rows.join(freq, "token").withColumn("n", F.count("*").over(whole)).withColumn("at", F.row_number().over(whole.orderBy("df", "token")))
-    prefix = placed.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1)
-    left, right = prefix.select(F.col("item").alias("a"), "token", F.col("n").alias("na")), prefix.select(F.col("item").alias("b"), "token", F.col("n").alias("nb"))
+    placed = rows.join(freq, "token").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
+    named = placed.select("item", F.col("s.token").alias("s")).withColumn("h", F.sha2(F.to_json("s"), 256))
+    named = written(named, "sets")
+    members = named.select("h", "item")
+    kinds = written(named.groupBy("h").agg(F.min("item").alias("x"), F.first("s").alias("s")).withColumn("n", F.size("s")), "kinds")
+    need = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
+    prefix = kinds.select("x", "n", F.posexplode(F.slice("s", F.lit(1), need.cast("int"))).alias("at", "token"))
+    left, right = (prefix.select(F.col("x").alias(k), "token", F.col("n").alias(f"n{k}"), F.col("at").alias(f"at{k}")) for k in "ab")
     fits = (F.col("na") >= F.col("nb") * F.lit(threshold) - 1e-9) & (F.col("nb") >= F.col("na") * F.lit(threshold) - 1e-9)
-    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & fits).select("a", "b", "na", "nb").distinct()
-    shared = pairs.select("a", "b").join(rows.withColumnRenamed("item", "a"), "a").join(rows.withColumnRenamed("item", "b"), ["b", "token"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    out = pairs.join(shared, ["a", "b"]).withColumn("sim", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
-    return out.where(F.col("sim") >= threshold).select("a", "b", "shared", "sim")
+    most = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    fits = fits & (most * F.lit(1 + threshold) >= F.lit(threshold) * (F.col("na") + F.col("nb")) - 1e-6)
+    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    one, two = (kinds.select(F.col("x").alias(k), F.col("s").alias(f"s{k}"), F.col("n").alias(f"n{k}"), F.col("h").alias(f"h{k}")) for k in "ab")
+    pairs = pairs.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")).cast("long")).drop("sa", "sb")
+    pairs = pairs.withColumn("sim", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("sim") >= threshold)
+    size = kinds.select(F.col("h").alias("ha"), F.col("n").cast("long").alias("shared"), F.col("x").alias("a"))
+    if not expand:
+        copies = members.withColumnRenamed("h", "ha").join(size, "ha").where(F.col("item") > F.col("a"))
+        return pairs.select("a", "b", "shared", "sim").unionByName(copies.select("a", F.col("item").alias("b"), "shared", F.lit(1.0).alias("sim")))
+    pairs = pairs.drop("a", "b")
+    first, second = members.select(F.col("h").alias("ha"), F.col("item").alias("i")), members.select(F.col("h").alias("hb"), F.col("item").alias("j"))
+    apart = pairs.join(first, "ha").join(second, "hb").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "shared", "sim")
+    twins = first.join(second, F.col("ha") == F.col("hb")).where("i < j").join(size.drop("a"), "ha")
+    return apart.unionByName(twins.select(F.col("i").alias("a"), F.col("j").alias("b"), "shared", F.lit(1.0).alias("sim")))

@@ -143,7 +143,7 @@ def user_rating_lists(spark, sf_dir):
     return lists.select("user_id", F.size("ratings").cast("long").alias("n"), listed.alias("ratings"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS differing_pairs")
+@query(f"WITH {RATINGS}, m AS (SELECT user_id, item_id FROM ratings GROUP BY 1, 2), l AS (SELECT user_id, unnest(list(item_id)) AS item_id FROM ratings GROUP BY user_id) SELECT count(*) AS differing_pairs FROM ((SELECT * FROM m EXCEPT SELECT * FROM l) UNION ALL (SELECT * FROM l EXCEPT SELECT * FROM m))")
 def adjacency_check(spark, sf_dir):
     return encode.adjacency_differs(tables.ratings(spark, sf_dir)).agg(F.count("*").alias("differing_pairs"))
 
@@ -167,7 +167,7 @@ def split_sizes(spark, sf_dir):
     return rows.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.col("user_id") * 31 + F.col("item_id") * 7 + F.col("r2")).alias("checksum"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS leaking_users")
+@query(f"WITH {SPLIT}, a AS (SELECT user_id, max(ts) AS last FROM train GROUP BY 1), b AS (SELECT user_id, min(ts) AS first FROM (SELECT * FROM val UNION ALL SELECT * FROM test) GROUP BY 1) SELECT count(*) AS leaking_users FROM a JOIN b USING (user_id) WHERE last > first")
 def verify_temporal_order(spark, sf_dir):
     train, val, test = _parts(spark, sf_dir)
     return split.leaks(train, val.unionByName(test)).agg(F.count("*").alias("leaking_users"))
@@ -386,6 +386,10 @@ def lsh_recall(spark, sf_dir):
 
 @query(f"WITH {DOC_JACCARD}, {_signature_sql().removeprefix(TOKENS + ', ')} " + " UNION ALL ".join(f"SELECT * FROM (WITH {_lsh_sql(t)} {_lsh_row_sql(t)})" for t in BANDS))
 def lsh_threshold_benchmark(spark, sf_dir):
+    return _lsh_benchmark(spark, sf_dir)
+
+
+def _lsh_benchmark(spark, sf_dir):
     sigs, out = _signatures(spark, sf_dir), None
     for t in BANDS:
         row = _lsh_row(spark, sf_dir, sigs, t)
@@ -393,6 +397,12 @@ def lsh_threshold_benchmark(spark, sf_dir):
     return out
 
 
+@query(f"WITH {DOC_JACCARD}, {_signature_sql().removeprefix(TOKENS + ', ')} SELECT *, round(recall * pair_reduction_x, 6) AS score FROM (" + " UNION ALL ".join(f"SELECT * FROM (WITH {_lsh_sql(t)} {_lsh_row_sql(t)})" for t in BANDS) + ") ORDER BY score DESC, threshold LIMIT 1")
+def lsh_best_threshold(spark, sf_dir):
+    """Recall for the pairs looked at; the runner's table has recall for the seconds, which no two runs share."""
+    return ranking.best(_lsh_benchmark(spark, sf_dir).withColumn("score", F.round(F.col("recall") * F.col("pair_reduction_x"), 6)), "score")
+
+
 # --- factors --------------------------------------------------------------------------------------------------
 
 
@@ -405,15 +415,11 @@ def _power_sql(rounds: int = 3) -> str:
     return f"WITH {', '.join(parts)} SELECT item_id, round(v, 4) AS v FROM v{rounds}"
 
 
-@query(_power_sql())
+@query(_power_sql(8))
 def svd_power_rank1(spark, sf_dir):
-    ev = written(tables.event_ratings(spark, sf_dir).select("user_id", "item_id", "value"), "ev")
-    v = ev.select("item_id").distinct().withColumn("v", F.lit(1.0))
-    for _ in range(3):
-        u = ev.join(v, "item_id").groupBy("user_id").agg(F.sum(F.col("value") * F.col("v")).alias("u"))
-        w = written(ev.join(u, "user_id").groupBy("item_id").agg(F.sum(F.col("value") * F.col("u")).alias("w")), "w")
-        v = w.join(F.broadcast(w.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")))).select("item_id", (F.col("w") / F.col("norm")).alias("v"))
-    return v.select("item_id", F.round("v", 4).alias("v"))
+    """The first item factor; ratings are positive, so that its entries have one sign."""
+    _, things, _ = factor.svd(tables.event_ratings(spark, sf_dir), 1, value="value")
+    return things.select("item_id", F.round(F.abs(F.col("vector")[0]), 4).alias("v"))
 
 
 @query()
@@ -435,6 +441,11 @@ def svd_factor_sweep(spark, sf_dir):
     return out
 
 
+@query()
+def svd_best_factors(spark, sf_dir):
+    return ranking.best(svd_factor_sweep(spark, sf_dir), "recall", "ndcg", "precision")
+
+
 @query("""SELECT user_id, item_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (
 SELECT a.vec_id AS user_id, b.vec_id AS item_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score FROM embeddings a CROSS JOIN embeddings b)) WHERE rank <= 10""")
 def factor_dot_topk(spark, sf_dir):
@@ -516,7 +527,7 @@ QUALITY_ROW = "coalesce(round(pure / nullif(clustered, 0), 6), 0) AS purity, coa
 
 def _clusters(spark, sf_dir, threshold, pairs=None):
     sets = tables.doc_tokens(spark, sf_dir)
-    pairs = pairs if pairs is not None else similarity.jaccard_at_least(sets, threshold)
+    pairs = pairs if pairs is not None else similarity.jaccard_at_least(sets, threshold, expand=False)
     return graph.clusters(pairs, sets.select("item_id").distinct(), threshold)
 
 
@@ -534,15 +545,27 @@ def cluster_quality(spark, sf_dir):
     return graph.cluster_quality(_clusters(spark, sf_dir, 0.5), _labels(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {DOC_JACCARD} " + " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {_cluster_sql(t)}, {QUALITY} SELECT CAST({t} AS DOUBLE) AS threshold, {QUALITY_ROW})" for t in (0.5, 0.6, 0.7, 0.8)))
-def cluster_threshold_sweep(spark, sf_dir):
-    pairs, out = written(similarity.jaccard_at_least(tables.doc_tokens(spark, sf_dir), 0.5), "pairs"), None
+CLUSTER_ROWS = " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {_cluster_sql(t)}, {QUALITY} SELECT CAST({t} AS DOUBLE) AS threshold, {QUALITY_ROW})" for t in (0.5, 0.6, 0.7, 0.8))
+
+
+def _cluster_sweep(spark, sf_dir):
+    pairs, out = written(similarity.jaccard_at_least(tables.doc_tokens(spark, sf_dir), 0.5, expand=False), "pairs"), None
     for t in (0.5, 0.6, 0.7, 0.8):
         row = graph.cluster_quality(_clusters(spark, sf_dir, t, pairs), _labels(spark, sf_dir)).select(F.lit(t).alias("threshold"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 
 
+@query(f"WITH RECURSIVE {DOC_JACCARD} {CLUSTER_ROWS}")
+def cluster_threshold_sweep(spark, sf_dir):
+    return _cluster_sweep(spark, sf_dir)
+
+
+@query(f"WITH RECURSIVE {DOC_JACCARD} SELECT * FROM ({CLUSTER_ROWS}) ORDER BY selection_score DESC, threshold LIMIT 1")
+def cluster_best_threshold(spark, sf_dir):
+    return ranking.best(_cluster_sweep(spark, sf_dir), "selection_score")
+
+
 @query(f"""WITH RECURSIVE {DOC_JACCARD}, {_cluster_sql(0.5)}, lab AS (SELECT component, coalesce(lang, 'unknown') AS label, count(*) AS c FROM clu LEFT JOIN documents ON doc_id = item_id GROUP BY 1, 2)
 SELECT component, CAST(sum(c) AS BIGINT) AS size, (SELECT string_agg(item_id, ',' ORDER BY item_id) FROM (SELECT item_id FROM clu WHERE clu.component = lab.component ORDER BY item_id LIMIT 5)) AS members, arg_min(label, (-c, label)) AS label
 FROM lab GROUP BY component ORDER BY size DESC, component LIMIT 5""")
@@ -622,6 +645,11 @@ def mmr_lambda_sweep(spark, sf_dir):
     return out
 
 
+@query()
+def mmr_best_weight(spark, sf_dir):
+    return ranking.best(mmr_lambda_sweep(spark, sf_dir).where("weight is not null"), "utility")
+
+
 DIVERSITY = f"""div AS (SELECT user_id, CASE WHEN count(d) > 0 THEN avg(d) ELSE 0 END AS diversity FROM (SELECT x.user_id, 1 - {GENRE_COSINE.format(a='p.g', b='q.g')} AS d FROM poprecs x JOIN poprecs y ON x.user_id = y.user_id AND x.rank < y.rank JOIN parsed p ON p.item_id = x.item_id JOIN parsed q ON q.item_id = y.item_id) GROUP BY 1)"""
 NOVELTY = "nov AS (SELECT user_id, avg(-log2(greatest(CAST(coalesce(cnt, 0) AS DOUBLE), 1e-9) / CAST((SELECT count(*) FROM users) AS DOUBLE))) AS novelty FROM poprecs LEFT JOIN pop USING (item_id) GROUP BY 1)"
 
@@ -704,7 +732,7 @@ def serve_recommend(spark, sf_dir):
     return _served(spark, sf_dir)[0]
 
 
-@query("SELECT CAST(0 AS BIGINT) AS known_items_served")
+@query(f"{SERVED} SELECT count(*) AS known_items_served FROM poprecs JOIN ratings USING (user_id, item_id)")
 def serve_excludes_history(spark, sf_dir):
     recs, known = _served(spark, sf_dir)
     return recs.join(known, ["user_id", "item_id"], "left_semi").agg(F.count("*").alias("known_items_served"))

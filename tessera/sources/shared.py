@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (local runs) one temporary folder of the session."""
+    """spark.checkpoint.dir; where it is unset one temporary folder of the session, in local runs only.
+
+    On a cluster a folder of one machine would scatter the tables, so an unset spark.checkpoint.dir is an error there.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.shared.dir", None)
+    if not place and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not place:
         place = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("tessera.shared.dir", place)

@@ -1,12 +1,16 @@
 import datetime
+import json
 import math
+import threading
+import urllib.error
+import urllib.request
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import genres
 from tessera.operators import coldstart, diversity, encode, factor, graph, lsh, popularity, ranking, recommend, similarity, split
-from tessera.plans import serve
+from tessera.plans import http, runner, serve
 from tessera.sources import sinks, tables
 from tessera.sources.registry import ModelRegistry
 from tessera.streaming import popular as streaming
@@ -293,6 +297,25 @@ def test_service(spark, tmp_path):
     with pytest.raises(RuntimeError):
         service.load(rebuild=True)
     assert serve.cache_benchmark(service, 1)["warm_ms"] < serve.cache_benchmark(service, 1)["cold_ms"]
+    status = lambda path, **q: service.handle(path, q)[0]
+    assert [status("/health"), status("/methods"), status("/compare"), status("/x")] == [200, 200, 503, 404]
+    assert [status("/recommend/1", n="3", method="mf"), status("/recommend/1", method="other"), status("/recommend/a"), status("/recommend/999999")] == [200, 400, 400, 404]
+    rows = spark.createDataFrame([("mf", 0.1, 0.1, 0.08, 0.5, 1.2), ("graph", 0.1, 0.1, 0.09, 0.5, 38.0)], "method string, precision_at_10 double, recall_at_10 double, ndcg_at_10 double, coverage double, ms_per_req double")
+    service.publish_comparison(rows)
+    report = serve.validation_report(service.load(), str(tmp_path / "report.json"), 1)
+    assert report["winner"] == {"method": "mf", "rule": "best ndcg@10 under 10ms"} and report["comparison"]["graph"]["ndcg_at_10"] == 0.09
+    assert json.loads((tmp_path / "report.json").read_text())["winner"] == report["winner"] and status("/compare") == 200
+    before = service.recommend(1, 3, "popularity")["items"]
+    service.registry.register("popularity", {"recs": service.tables["popularity"].where("rank > 1").withColumn("rank", F.col("rank") - 1)})
+    assert service.recommend(1, 3, "popularity")["items"] == before and service.load().recommend(1, 3, "popularity")["items"] != before
+    web = http.server(service, 0)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{web.server_port}/recommend/1?n=2&method=mf") as answer:
+        assert len(json.load(answer)["items"]) == 2
+    with pytest.raises(urllib.error.HTTPError):
+        urllib.request.urlopen(f"http://127.0.0.1:{web.server_port}/recommend/999999")
+    web.shutdown()
+    web.server_close()
 
 
 def test_files(spark, tmp_path):
@@ -337,3 +360,88 @@ def test_entry_points():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) >= 60
+
+
+def test_blocked_three_hops_and_item_polynomial(spark, monkeypatch):
+    """Small blocks, and whole users or single seeds, give what plain walks give."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    b = (rng.random((23, 17)) < 0.15).astype(float)
+    g = spark.createDataFrame([(int(u), int(i)) for u, i in zip(*b.nonzero(), strict=True)], "user_id long, item_id long")
+    monkeypatch.setattr(graph, "USER_BLOCK", 5)
+    monkeypatch.setattr(graph, "ITEM_BLOCK", 4)
+    want = ((b @ b.T > 0) @ b) * (b == 0)
+    assert {(r.user_id, r.item_id): r.score for r in graph.three_hop(g).collect()} == {(int(u), int(i)): want[u, i] for u, i in zip(*want.nonzero(), strict=True)}
+    du, di = np.maximum(b.sum(1), 1), np.maximum(b.sum(0), 1)
+    walk, total = b / du[:, None], 0
+    for t in range(5):
+        total = total + 0.15 * 0.85 ** (2 * t + 1) * walk
+        walk = (walk / di) @ b.T @ (b / du[:, None])
+    got = {(r.seed, r.item_id): r.score for r in graph.page_rank(g).collect()}
+    assert got == pytest.approx({(int(u), int(i)): total[u, i] for u, i in zip(*total.nonzero(), strict=True)})
+    some = {(r.seed, r.item_id): r.score for r in graph.page_rank(g, seeds=g.select("user_id").where("user_id < 3")).collect()}
+    assert some == pytest.approx({k: v for k, v in got.items() if k[0] < 3})
+
+
+def test_equal_sets_link_without_all_their_pairs(spark):
+    rows = [(i, t) for i in range(12) for t in ("a", "b", "c")] + [(20, t) for t in "abcd"] + [(30, "z")]
+    sets = spark.createDataFrame(rows, "item_id long, token string")
+    assert similarity.jaccard_at_least(sets, 0.7).count() == 12 * 11 // 2 + 12
+    few = similarity.jaccard_at_least(sets, 0.7, expand=False)
+    assert few.count() == 12
+    found = {r.item_id: r.component for r in graph.clusters(few, sets.select("item_id").distinct(), 0.7).collect()}
+    assert found == {**{i: 0 for i in (*range(12), 20)}, 30: 30}
+
+
+def test_numbered(spark):
+    rows = spark.createDataFrame([(i * 7 % 50, i) for i in range(50)], "a long, b long").repartition(7)
+    got = {r.a: (r.b, r.idx) for r in ranking.numbered(rows, F.desc("a")).collect()}
+    assert got == {i * 7 % 50: (i, 49 - i * 7 % 50) for i in range(50)}
+    assert ranking.numbered(rows.limit(0), "a").count() == 0
+
+
+def test_svd_with_and_without_room(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    m = np.zeros((60, 90))
+    for row in m:
+        row[rng.choice(90, 7, replace=False)] = rng.integers(1, 11, 7) / 2
+    cells = spark.createDataFrame([(int(u), int(i), float(m[u, i])) for u, i in zip(*m.nonzero(), strict=True)], "user_id long, item_id long, rating double")
+    full = np.linalg.svd(m)
+    for room in (4 << 20, 10):
+        monkeypatch.setattr(factor, "CELLS_IN_A_TASK", room)
+        left, right, s = factor.svd(cells, 5)
+        assert s == pytest.approx(full[1][:5], rel=1e-9)
+        u, v = {r.user_id: np.array(r.vector) for r in left.collect()}, {r.item_id: np.array(r.vector) for r in right.collect()}
+        want = (full[0][:, :5] * full[1][:5]) @ full[2][:5]
+        assert max(abs(u[a] @ v[b] - want[a, b]) for a in u for b in v) < 1e-4
+    assert [x.count() for x in factor.svd(cells.limit(0), 3)[:2]] == [0, 0]
+    a = m @ m.T
+    with pytest.raises(ArithmeticError):
+        factor.leading(lambda x: a @ x, rng.normal(size=(60, 4)), 5, rounds=2)
+
+
+def test_runner(spark, tmp_path):
+    films = items(spark, FILMS)
+    table = {"films": lambda s, d: films, "none": lambda s, d: films.limit(0)}
+    got = runner.run(spark, "", ("films", "none"), table, str(tmp_path / "a")).collect()
+    assert [(r.step, r.rows) for r in got] == [("films", films.count()), ("none", 0)]
+    assert spark.read.option("header", True).csv(str(tmp_path / "a" / "films")).count() == films.count()
+    spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 4, i % 4 + 9))) for i in range(12)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    row = runner.lsh_table(spark, str(tmp_path), 16, [0.5], 3).first()
+    assert row.true_pairs == 66 and 0 < row.recall <= 1
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from tessera.sources import shared
+
+    held = {"spark.checkpoint.dir": None, "tessera.shared.dir": None}
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: held.get(k, d)), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(RuntimeError):
+        shared.folder(cluster)
+    held["spark.checkpoint.dir"] = "hdfs://x/y/"
+    assert shared.folder(cluster) == "hdfs://x/y"
