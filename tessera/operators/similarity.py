@@ -11,6 +11,20 @@ from tessera.sources.shared import written
 SCALE = 1_000_000_000
 
 
+#: Rows of one key that a self-join puts into one task on its left side.
+ROWS_OF_A_KEY = 2000
+
+
+def dealt(rows: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
+    """(left, right) of a self-join on ``key`` and _salt: a key of many rows is dealt over several tasks on the left, and
+    copied to each of them on the right, so that every pair meets once and no task holds all of a key's pairs."""
+    parts = F.ceil(F.count("*").over(Window.partitionBy(*key)) / F.lit(ROWS_OF_A_KEY)).cast("int")
+    counted = rows.withColumn("_parts", parts)
+    left = counted.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.col("_parts")).cast("int"))
+    right = counted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return left.drop("_parts"), right.drop("_parts")
+
+
 def norms(interactions: DataFrame) -> DataFrame:
     """(item_id, norm2): the sum of squared half-star ratings, a whole number."""
     return interactions.groupBy("item_id").agg(F.sum(F.col("r2") * F.col("r2")).alias("norm2"))
@@ -22,9 +36,10 @@ def cosine_pairs(interactions: DataFrame) -> DataFrame:
     Cosine does not change with the scale, so half stars are multiplied as whole numbers and divided once.
     Only one triangle is joined and shuffled.  Partial sums by pair are taken before the shuffle.
     """
-    left = interactions.select("user_id", F.col("item_id").alias("a"), F.col("r2").alias("ra"))
-    right = interactions.select("user_id", F.col("item_id").alias("b"), F.col("r2").alias("rb"))
-    dots = left.join(right, "user_id").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ra") * F.col("rb")).alias("dot"))
+    left, right = dealt(interactions.select("user_id", "item_id", "r2"), "user_id")
+    left = left.select("user_id", "_salt", F.col("item_id").alias("a"), F.col("r2").alias("ra"))
+    right = right.select("user_id", "_salt", F.col("item_id").alias("b"), F.col("r2").alias("rb"))
+    dots = left.join(right, ["user_id", "_salt"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("ra") * F.col("rb")).alias("dot"))
     size = norms(interactions)
     rows = dots.join(size.select(F.col("item_id").alias("a"), F.col("norm2").alias("na")), "a").join(size.select(F.col("item_id").alias("b"), F.col("norm2").alias("nb")), "b")
     return rows.select("a", "b", "dot", (F.col("dot") / F.sqrt(F.col("na").cast("double") * F.col("nb").cast("double"))).alias("sim"))
@@ -46,7 +61,8 @@ def jaccard_pairs(sets: DataFrame, item: str = "item_id", token: str = "token")
     """(a, b, shared, sim) for a < b with a token in common; counts are long and cannot wrap."""
     rows = sets.select(F.col(item).alias("item"), F.col(token).alias("token")).distinct()
     size = rows.groupBy("item").agg(F.count("*").alias("n"))
-    shared = rows.withColumnRenamed("item", "a").join(rows.withColumnRenamed("item", "b"), "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    left, right = dealt(rows, "token")
+    shared = left.withColumnRenamed("item", "a").join(right.withColumnRenamed("item", "b"), ["token", "_salt"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     rows = shared.join(size.select(F.col("item").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("item").alias("b"), F.col("n").alias("nb")), "b")
     return rows.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("sim"))
 

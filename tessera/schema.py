@@ -1,4 +1,4 @@
-"""Explicit schemas of the engine's inputs and results; nothing is inferred."""
+"""Explicit schemas of the files that are read; nothing is inferred."""
 
 from pyspark.sql import types as T
 
@@ -7,14 +7,8 @@ def _schema(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
-LONG, DOUBLE, TEXT, INT = T.LongType(), T.DoubleType(), T.StringType(), T.IntegerType()
+LONG, DOUBLE, TEXT = T.LongType(), T.DoubleType(), T.StringType()
 
 #: Files of an interaction data set: user, item, half-star rating and epoch second; item, title and genres.
 RATINGS_CSV = _schema(userId=LONG, movieId=LONG, rating=DOUBLE, timestamp=LONG)
 ITEMS_CSV = _schema(movieId=LONG, title=TEXT, genres=TEXT)
-INTERACTIONS = _schema(user_id=LONG, item_id=LONG, r2=LONG, rating=DOUBLE, ts=T.TimestampNTZType())
-ITEMS = _schema(item_id=LONG, title=TEXT, genres=TEXT)
-RECOMMENDATIONS = _schema(user_id=LONG, item_id=LONG, score=DOUBLE, rank=LONG)
-SIMILARITY = _schema(a=LONG, b=LONG, sim=DOUBLE)
-COMPONENTS = _schema(item_id=LONG, component=LONG)
-METRICS = _schema(k=LONG, users=LONG, precision=DOUBLE, recall=DOUBLE, ndcg=DOUBLE, coverage=DOUBLE)

@@ -445,3 +445,13 @@ def test_shared_folder_must_be_named_on_a_cluster(spark):
         shared.folder(cluster)
     held["spark.checkpoint.dir"] = "hdfs://x/y/"
     assert shared.folder(cluster) == "hdfs://x/y"
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    rows = inter(spark, [(u, i, 1 + (u * i) % 10, 0) for u in range(4) for i in range(12) if (u + i) % 3 or not u])
+    sets = rows.select("item_id", F.col("user_id").alias("token"))
+    want = [sorted(map(tuple, f.collect())) for f in (similarity.cosine_pairs(rows), similarity.jaccard_pairs(sets))]
+    monkeypatch.setattr(similarity, "ROWS_OF_A_KEY", 3)
+    assert [sorted(map(tuple, f.collect())) for f in (similarity.cosine_pairs(rows), similarity.jaccard_pairs(sets))] == want
+    one = spark.createDataFrame([(i, 0, "k") for i in range(9)], "item_id long, band int, key string")
+    assert lsh.candidate_pairs(one).count() == 36
