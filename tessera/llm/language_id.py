@@ -16,17 +16,20 @@ WINDOW = 256
 TEXTS_PER_LANGUAGE = 500
 #: Bytes of each sampled text that reach the driver: windows are drawn from this many, at a random place.
 TEXT_BYTES = 16384
+#: Labels that are learned, by falling number of rows: the bound of the model and of the plan.
+MOST_LABELS = 256
 UNKNOWN = "und"
 
 
 def sample(rows: DataFrame, label: str, per_class: int, text_bytes: int = TEXT_BYTES) -> list[tuple[bytes, object]]:
     """About ``per_class`` rows of (id, text, label) for each label, chosen by a hash of the id.
 
-    A longer text gives ``text_bytes`` characters from a place that the hash chooses.  At most
-    2 x per_class x labels rows reach the driver; everything that is scored is scored whole.
+    A longer text gives ``text_bytes`` characters from a place that the hash chooses.  The MOST_LABELS labels with the
+    most rows are learned.  At most 2 x per_class x labels rows reach the driver; everything that is scored is scored
+    whole.
     """
     rows = rows.where(F.col(label).isNotNull() & F.col("text").isNotNull())
-    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}  # one row a label
+    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LABELS).collect()}
     keep, part = F.lit(False), F.pmod(F.xxhash64("id"), F.lit(1 << 20))
     for value, n in counts.items():
         keep = keep | ((F.col(label) == F.lit(value)) & (part < -(-(per_class << 20) // n)))
