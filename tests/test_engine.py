@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import genres
 from tessera.operators import coldstart, diversity, encode, factor, graph, lsh, popularity, ranking, recommend, similarity, split
 from tessera.plans import http, runner, serve
-from tessera.sources import sinks, tables
+from tessera.sources import download, sinks, tables
 from tessera.sources.registry import ModelRegistry
 from tessera.streaming import popular as streaming
 
@@ -430,7 +430,8 @@ def test_runner(spark, tmp_path):
     assert [(r.step, r.rows) for r in got] == [("films", films.count()), ("none", 0)]
     assert spark.read.option("header", True).csv(str(tmp_path / "a" / "films")).count() == films.count()
     spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 4, i % 4 + 9))) for i in range(12)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    row = runner.lsh_table(spark, str(tmp_path), 16, [0.5], 3).first()
+    row = runner.lsh_table(spark, str(tmp_path), 16, [0.5], 3, brute_force=True).first()
+    assert row.brute_force_seconds > 0 and row.exact_seconds > 0
     assert row.true_pairs == 66 and 0 < row.recall <= 1
 
 
@@ -455,3 +456,28 @@ def test_hot_keys_are_dealt(spark, monkeypatch):
     assert [sorted(map(tuple, f.collect())) for f in (similarity.cosine_pairs(rows), similarity.jaccard_pairs(sets))] == want
     one = spark.createDataFrame([(i, 0, "k") for i in range(9)], "item_id long, band int, key string")
     assert lsh.candidate_pairs(one).count() == 36
+
+
+def test_fetch(tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("ml/ratings.csv", "userId")
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("../out.csv", "x")
+    url = (tmp_path / "a.zip").as_uri()
+    got = download.fetch(url, str(tmp_path / "data"))
+    assert got == [str(tmp_path / "data" / "ml" / "ratings.csv")]
+    (tmp_path / "a.zip").unlink()
+    assert download.fetch(url, str(tmp_path / "data")) == got
+    with pytest.raises(ValueError):
+        download.fetch((tmp_path / "bad.zip").as_uri(), str(tmp_path / "other"))
+    assert not (tmp_path / "other").exists() and not (tmp_path / "out.csv").exists()
+
+
+def test_plot(spark, tmp_path):
+    rows = spark.createDataFrame([(10, 0.1, 0.3), (50, 0.2, 0.25), (20, None, 1.0)], "k long, a double, b double")
+    sinks.write_plot(str(tmp_path / "p.svg"), rows, "k", "a", "b")
+    drawn = (tmp_path / "p.svg").read_text()
+    assert drawn.count("<polyline") == 2 and ">50<" in drawn and ">20<" not in drawn
+    assert sinks.plot(rows.limit(0), "k", "a").startswith("<svg")
