@@ -1,6 +1,7 @@
 import datetime
 import json
 import math
+import random
 import threading
 import urllib.error
 import urllib.request
@@ -481,3 +482,35 @@ def test_plot(spark, tmp_path):
     drawn = (tmp_path / "p.svg").read_text()
     assert drawn.count("<polyline") == 2 and ">50<" in drawn and ">20<" not in drawn
     assert sinks.plot(rows.limit(0), "k", "a").startswith("<svg")
+
+
+def test_tiles_of_any_size_give_the_same_pairs(spark, monkeypatch):
+    """Pairs and nearest lists, over tiles and runs much smaller than the input, against plain loops."""
+    from tessera.operators import tiles
+
+    monkeypatch.setattr(tiles, "CELLS", 40)
+    monkeypatch.setattr(tiles, "DEALT", 25)
+    monkeypatch.setattr(tiles, "PRODUCTS", 60)
+    rng = random.Random(5)
+    rated = {(u, rng.choice([rng.randrange(40), 10**12 + rng.randrange(9)])): rng.randint(1, 10) for u in range(30) for _ in range(12)}
+    rows = spark.createDataFrame([(u, i, r) for (u, i), r in rated.items()], "user_id long, item_id long, r2 long").repartition(3)
+    by_user, norm = {}, {}
+    for (u, i), r in rated.items():
+        by_user.setdefault(u, []).append((i, r))
+        norm[i] = norm.get(i, 0) + r * r
+    dots = {}
+    for mine in by_user.values():
+        for i, r in mine:
+            for j, s in mine:
+                if i < j:
+                    dots[i, j] = dots.get((i, j), 0) + r * s
+    pairs = similarity.cosine_pairs(rows)
+    assert {(p.a, p.b): (p.dot, p.sim) for p in pairs.collect()} == {k: (d, d / (norm[k[0]] * norm[k[1]]) ** 0.5) for k, d in dots.items()}
+    near = lambda f: sorted(map(tuple, f.select("a", "b", "sim", "simq", "rank").collect()))
+    assert near(similarity.nearest_cosine(rows, 4)) == near(similarity.nearest(pairs, 4))
+    sets = rows.select("item_id", F.col("user_id").alias("token"))
+    assert near(similarity.nearest_jaccard(sets, 3)) == near(similarity.nearest(similarity.jaccard_pairs(sets), 3))
+    some = similarity.jaccard_pairs(sets).select("a", "b", F.col("sim").alias("s")).join(similarity.jaccard_nested(sets), ["a", "b"])
+    assert some.where("s <> sim").count() == 0 and some.count() == len(dots)
+    with pytest.raises(TypeError):
+        similarity.jaccard_pairs(spark.createDataFrame([("x", 1)], "item_id string, token long"))
