@@ -514,3 +514,19 @@ def test_tiles_of_any_size_give_the_same_pairs(spark, monkeypatch):
     assert some.where("s <> sim").count() == 0 and some.count() == len(dots)
     with pytest.raises(TypeError):
         similarity.jaccard_pairs(spark.createDataFrame([("x", 1)], "item_id string, token long"))
+
+
+def test_best_sums_in_small_blocks(spark, monkeypatch):
+    """The best of each user by blocks of users, against all candidates joined and ranked."""
+    from tessera.operators import tiles
+
+    monkeypatch.setattr(tiles, "CELLS", 50)
+    monkeypatch.setattr(tiles, "PRODUCTS", 40)
+    rng = random.Random(6)
+    rated = {(u, rng.randrange(60)): rng.randint(1, 10) for u in range(40) for _ in range(14)}
+    rows = spark.createDataFrame([(u, i, r) for (u, i), r in rated.items()], "user_id long, item_id long, r2 long")
+    near, likes = similarity.nearest_cosine(rows, 6), recommend.liked(rows, 3.0)
+    got = tiles.best_sums(likes, near, rows, 5).select("user_id", "item_id", "scoreq", "rank")
+    want = ranking.top_n(recommend.candidates(likes, near, rows), 5, score="scoreq").select("user_id", "item_id", "scoreq", "rank")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
+    assert tiles.best_sums(likes.limit(0), near, rows, 5).count() == 0
