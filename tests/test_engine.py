@@ -530,3 +530,24 @@ def test_best_sums_in_small_blocks(spark, monkeypatch):
     want = ranking.top_n(recommend.candidates(likes, near, rows), 5, score="scoreq").select("user_id", "item_id", "scoreq", "rank")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
     assert tiles.best_sums(likes.limit(0), near, rows, 5).count() == 0
+
+
+def test_first_tokens_in_small_tiles(spark, monkeypatch):
+    """Pairs at a threshold over tiles of a few cells, against all pairs; far fewer than share a token leave the tiles."""
+    from tessera.operators import tiles
+
+    monkeypatch.setattr(tiles, "CELLS", 150)
+    monkeypatch.setattr(tiles, "DEALT", 60)
+    monkeypatch.setattr(tiles, "PRODUCTS", 90)
+    made, prefix = [], tiles.prefix_pairs
+    monkeypatch.setattr(tiles, "prefix_pairs", lambda *a: (made.append(prefix(*a)), made[-1])[1])
+    rng = random.Random(9)
+    texts = [set(rng.choices(range(120), k=rng.randint(3, 40))) for _ in range(60)]
+    texts += [(x - set(rng.sample(sorted(x), 2))) | {500 + i} for i, x in enumerate(texts[:25])] + texts[30:36]
+    rows = spark.createDataFrame([(i, t) for i, x in enumerate(texts) for t in x], "item_id long, token long")
+    everything = {(r.a, r.b): r.sim for r in similarity.jaccard_nested(rows).collect()}
+    for t in (0.3, 0.5, 0.8):
+        got = {(r.a, r.b): r.sim for r in similarity.jaccard_at_least(rows, t).collect()}
+        assert got == {k: s for k, s in everything.items() if s >= t}
+        pairs = [tuple(p) for p in made[-1].collect()]
+        assert len(pairs) == len(set(pairs)) < sum(s > 0 for s in everything.values())
