@@ -551,3 +551,57 @@ def test_first_tokens_in_small_tiles(spark, monkeypatch):
         assert got == {k: s for k, s in everything.items() if s >= t}
         pairs = [tuple(p) for p in made[-1].collect()]
         assert len(pairs) == len(set(pairs)) < sum(s > 0 for s in everything.values())
+
+
+def test_svd_of_parts_and_of_equal_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    m = rng.integers(1, 11, (30, 40)) * (rng.random((30, 40)) < 0.3) / 2
+    whole = np.kron(np.eye(3), m)  # three parts, every singular value three times
+    cells = [(int(u), int(i), float(whole[u, i])) for u, i in zip(*whole.nonzero(), strict=True)]
+    left, right, s = factor.svd(spark.createDataFrame(cells, "user_id long, item_id long, rating double"), 6)
+    full = np.linalg.svd(whole)
+    assert s == pytest.approx(full[1][:6], rel=1e-9)
+    u, v = {r.user_id: np.array(r.vector) for r in left.collect()}, {r.item_id: np.array(r.vector) for r in right.collect()}
+    want = (full[0][:, :6] * full[1][:6]) @ full[2][:6]
+    assert max(abs(u[a] @ v[b] - want[a, b]) for a in u for b in v) < 1e-4
+    parts = factor._parts(pa_table(cells))
+    assert len(set(parts.column("part").to_pylist())) == 3
+    value, vector = factor.leading(lambda x: x * np.r_[np.full(40, 5.0), np.ones(300)][:, None], rng.normal(size=(340, 16)), 30)
+    assert value == pytest.approx(np.full(30, 5.0)) and np.abs(vector[40:]).max() < 1e-6  # more equal values than columns of a block
+
+
+def pa_table(cells):
+    import pyarrow as pa
+
+    return pa.table(dict(zip(("user_id", "item_id", "v"), zip(*cells, strict=True), strict=True)))
+
+
+def test_svd_takes_few_products():
+    """A flat spectrum: residuals of the first unconverged pairs took 40 products for this."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(600, 700)) * (rng.random((600, 700)) < 0.05)
+    a, columns = a @ a.T, []
+    value, _ = factor.leading(lambda x: (columns.append(x.shape[1]), a @ x)[1], rng.normal(size=(600, 16)), 20)
+    assert value == pytest.approx(np.linalg.eigvalsh(a)[::-1][:20], rel=1e-9)
+    assert len(columns) < 30
+
+
+def test_lists_of_several_widths_are_those_of_each(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    left, right = rng.normal(size=(50, 6)), rng.normal(size=(70, 6))
+    users = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(left)], "user_id long, vector array<double>")
+    items = spark.createDataFrame([(i * 3, x.tolist()) for i, x in enumerate(right)], "item_id long, vector array<double>")
+    seen = spark.createDataFrame([(u, 3 * ((u * 7 + j) % 80)) for u in range(50) for j in range(4)], "user_id long, item_id long")
+    hidden = {(r.user_id, r.item_id) for r in seen.collect()}
+    got = factor.recommend_widths(users, items, seen, [2, 5, 6], 4, user_rows=20, item_rows=30).collect()
+    for width in (2, 5, 6):
+        scores = left[:, :width] @ right[:, :width].T
+        want = {u: [3 * int(i) for i in np.argsort(-scores[u]) if (u, 3 * int(i)) not in hidden][:4] for u in range(50)}
+        own = sorted((r.user_id, r.rank, r.item_id) for r in got if r.factors == width)
+        assert own == [(u, n + 1, i) for u in range(50) for n, i in enumerate(want[u])]
