@@ -605,3 +605,31 @@ def test_lists_of_several_widths_are_those_of_each(spark):
         want = {u: [3 * int(i) for i in np.argsort(-scores[u]) if (u, 3 * int(i)) not in hidden][:4] for u in range(50)}
         own = sorted((r.user_id, r.rank, r.item_id) for r in got if r.factors == width)
         assert own == [(u, n + 1, i) for u in range(50) for n, i in enumerate(want[u])]
+
+
+def test_signatures_of_runs_in_parts(spark, monkeypatch):
+    """Minima of items whose rows are in several runs and partitions, null tokens too; and the plan has no hundred aggregates."""
+    monkeypatch.setattr(lsh, "TOKENS_AT_ONCE", 7)
+    rng = random.Random(3)
+    data = [(rng.randint(1, 9), f"w{rng.randint(1, 60)}") for _ in range(300)] + [(50, None), (3, None)]
+    sets = spark.createDataFrame(data, "item_id long, token string").repartition(3)
+    hashes = {r.token: r.h for r in sets.select("token", lsh.token_hash(F.col("token")).alias("h")).collect()}
+    want = {i: [min(((hashes[t] * a + b) % lsh.PRIME for j, t in data if j == i and t), default=None) for a, b in lsh.permutations(16)] for i in {x for x, _ in data}}
+    made = lsh.signatures(sets, 16)
+    assert {r.item_id: r.sig for r in made.collect()} == want
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("min(") == 0
+
+
+def test_blocks_of_unlike_sizes_never_meet(spark, monkeypatch):
+    """Large and small sets share their rarest token: no tile of theirs is dealt, and nothing is lost."""
+    from tessera.operators import tiles
+
+    monkeypatch.setattr(tiles, "CELLS", 40)
+    sizes, deal = [], tiles._deal
+    monkeypatch.setattr(tiles, "_deal", lambda bounds, fits=None: (sizes.append(fits), deal(bounds, fits))[1])
+    rng = random.Random(5)
+    data = [(i, t) for i in range(40) for t in {0, *rng.choices(range(1, 30), k=4 if i % 2 else 25)}]
+    rows = spark.createDataFrame(data, "item_id long, token long")
+    got = {(r.a, r.b): r.sim for r in similarity.jaccard_at_least(rows, 0.6).collect()}
+    assert got == {(r.a, r.b): r.sim for r in similarity.jaccard_nested(rows).collect() if r.sim >= 0.6} and got
+    assert sizes[-1].diagonal().all() and not sizes[-1].all()
