@@ -633,3 +633,20 @@ def test_blocks_of_unlike_sizes_never_meet(spark, monkeypatch):
     got = {(r.a, r.b): r.sim for r in similarity.jaccard_at_least(rows, 0.6).collect()}
     assert got == {(r.a, r.b): r.sim for r in similarity.jaccard_nested(rows).collect() if r.sim >= 0.6} and got
     assert sizes[-1].diagonal().all() and not sizes[-1].all()
+
+
+def test_lists_are_computed_once_when_filled(spark):
+    """fill and compare read a method's lists several times; they are computed once."""
+    ran = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            ran.add(batch.num_rows)
+            yield batch
+
+    recs = spark.createDataFrame([(1, 7, 0.5, 1), (2, 8, 0.5, 1)], "user_id long, item_id long, score double, rank long")
+    users, seen = spark.range(1, 4).withColumnRenamed("id", "user_id"), spark.createDataFrame([(1, 8)], "user_id long, item_id long")
+    popular = spark.createDataFrame([(7, 3), (8, 2), (9, 1)], "item_id long, cnt long")
+    got = popularity.fill(recs.mapInArrow(counted, recs.schema), users, seen, popular, 2)
+    assert sorted((r.user_id, r.item_id, r.rank) for r in got.collect()) == [(1, 7, 1), (1, 9, 2), (2, 7, 2), (2, 8, 1), (3, 7, 1), (3, 8, 2)]
+    assert ran.value == 2
