@@ -330,7 +330,7 @@ jac AS (SELECT a, b, shared, shared / CAST(x.n + y.n - shared AS DOUBLE) AS sim
 
 @query(f"WITH {DOC_JACCARD} SELECT a, b, shared, round(sim, 6) AS sim FROM jac WHERE sim >= 0.5")
 def jaccard_threshold_pairs(spark, sf_dir):
-    return similarity.jaccard_at_least(tables.doc_tokens(spark, sf_dir), 0.5).select("a", "b", "shared", F.round("sim", 6).alias("sim"))
+    return similarity.jaccard_at_least(tables.doc_sets(spark, sf_dir), 0.5).select("a", "b", "shared", F.round("sim", 6).alias("sim"))
 
 
 NUM_PERM = 128
@@ -526,7 +526,7 @@ QUALITY_ROW = "coalesce(round(pure / nullif(clustered, 0), 6), 0) AS purity, coa
 
 
 def _clusters(spark, sf_dir, threshold, pairs=None):
-    sets = tables.doc_tokens(spark, sf_dir)
+    sets = tables.doc_sets(spark, sf_dir)
     pairs = pairs if pairs is not None else similarity.jaccard_at_least(sets, threshold, expand=False)
     return graph.clusters(pairs, sets.select("item_id").distinct(), threshold)
 
@@ -549,7 +549,7 @@ CLUSTER_ROWS = " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {_cluster_sql(
 
 
 def _cluster_sweep(spark, sf_dir):
-    pairs, out = written(similarity.jaccard_at_least(tables.doc_tokens(spark, sf_dir), 0.5, expand=False), "pairs"), None
+    pairs, out = written(similarity.jaccard_at_least(tables.doc_sets(spark, sf_dir), 0.5, expand=False), "pairs"), None
     for t in (0.5, 0.6, 0.7, 0.8):
         row = graph.cluster_quality(_clusters(spark, sf_dir, t, pairs), _labels(spark, sf_dir)).select(F.lit(t).alias("threshold"), "*")
         row = written(row, "row")

@@ -650,3 +650,25 @@ def test_lists_are_computed_once_when_filled(spark):
     got = popularity.fill(recs.mapInArrow(counted, recs.schema), users, seen, popular, 2)
     assert sorted((r.user_id, r.item_id, r.rank) for r in got.collect()) == [(1, 7, 1), (1, 9, 2), (2, 7, 2), (2, 8, 1), (3, 7, 1), (3, 8, 2)]
     assert ran.value == 2
+
+
+def test_sets_as_arrays_are_verified_in_blocks(spark, monkeypatch):
+    """Arrays of tokens, in parts, with nulls and repeats, give what rows of tokens give; a set is verified once a tile."""
+    from tessera.operators import tiles
+
+    monkeypatch.setattr(tiles, "CELLS", 60)
+    monkeypatch.setattr(tiles, "COUNTS", 100)
+    monkeypatch.setattr(tiles, "SUB", 7)
+    monkeypatch.setattr(tiles, "VERIFIED", 200)
+    rng = random.Random(11)
+    texts = [[f"w{x}" for x in rng.choices(range(70), k=rng.randint(1, 30))] for _ in range(50)]
+    texts += [x[1:] + ["new"] for x in texts[:20]] + texts[:5]
+    parts = [(i, x) for i, x in enumerate(texts)] + [(3, ["more", None]), (None, ["w1"]), (900, []), (901, None)]
+    arrays = spark.createDataFrame(parts, "item_id long, token array<string>")
+    rows = arrays.select("item_id", F.explode("token").alias("token")).where("item_id is not null and token is not null").distinct()
+    for t in (0.25, 0.6):
+        want = {(r.a, r.b): r.sim for r in similarity.jaccard_nested(rows).collect() if r.sim >= t}
+        got = similarity.jaccard_at_least(arrays, t).collect()
+        assert {(r.a, r.b): r.sim for r in got} == want and len(got) == len(want) > 20
+    named = tiles.hashed_sets(arrays, "item_id", "token")
+    assert named.count() == len(texts) and named.where("item = 3 and n = %d" % (len(set(texts[3])) + 1)).count() == 1
