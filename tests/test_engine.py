@@ -672,3 +672,21 @@ def test_sets_as_arrays_are_verified_in_blocks(spark, monkeypatch):
         assert {(r.a, r.b): r.sim for r in got} == want and len(got) == len(want) > 20
     named = tiles.hashed_sets(arrays, "item_id", "token")
     assert named.count() == len(texts) and named.where("item = 3 and n = %d" % (len(set(texts[3])) + 1)).count() == 1
+
+
+def test_candidates_are_counted_without_their_list(spark, monkeypatch):
+    """Recall by marks in tiles of a few signatures, against the list of candidates; the plan has no join by band."""
+    rng = random.Random(4)
+    texts = [rng.sample(range(40), rng.randint(2, 20)) for _ in range(40)]
+    texts += [x[1:] for x in texts[:15]] + texts[:4]
+    sets = spark.createDataFrame([(i, t) for i, x in enumerate(texts) for t in x], "item_id long, token long")
+    sigs = lsh.signatures(sets, 32).cache()
+    exact = similarity.jaccard_pairs(sets).cache()
+    monkeypatch.setattr(lsh, "MARKED", 6)
+    monkeypatch.setattr(lsh, "MARKS", 9)
+    monkeypatch.setattr(lsh, "BLOCK", 25)
+    for bands, rows, t in ((16, 2, 0.3), (8, 3, 0.6)):
+        pairs = lsh.candidate_pairs(lsh.buckets(sigs, bands, rows)).cache()
+        want = lsh.recall(pairs, exact, len(texts), t).first()
+        assert lsh.counted_recall(sigs, exact, bands, rows, t).first() == want and 15 < want.candidate_pairs
+    assert lsh.counted_recall(sigs.limit(0), exact.limit(0), 8, 3, 0.6).first().candidate_pairs == 0
